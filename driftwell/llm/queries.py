@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from driftwell.llm import packing, tokens
+from driftwell.llm import lookalikes, packing, tokens
 from driftwell.sources.tables import table
 
 
@@ -23,5 +24,19 @@ def p8_fill(spark: SparkSession, d: str) -> DataFrame:
     return packing.fill_report(p8_containers(spark, d))
 
 
-QUERIES = {"p7_ids": p7_ids, "p8_containers": p8_containers, "p8_fill": p8_fill}
+def _p2_rows(spark: SparkSession, d: str) -> DataFrame:
+    return lookalikes.fields(table(spark, d, "items", "id", "title", "summary"), "id", ["title", "summary"])
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    """field, item_id_a, item_id_b of items that look the same but are stored differently."""
+    return lookalikes.seen_equal(_p2_rows(spark, d)).select("field", F.col("key_a").alias("item_id_a"), F.col("key_b").alias("item_id_b"))
+
+
+def p2_canonical(spark: SparkSession, d: str) -> DataFrame:
+    """field, item_id, canonical: every text in its consistent form."""
+    return lookalikes.canonical(_p2_rows(spark, d)).select("field", F.col("key").alias("item_id"), "canonical")
+
+
+QUERIES = {"p2_found": p2_found, "p2_canonical": p2_canonical, "p7_ids": p7_ids, "p8_containers": p8_containers, "p8_fill": p8_fill}
 ORACLES: dict[str, str] = {}
