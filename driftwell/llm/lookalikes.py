@@ -17,6 +17,8 @@ import unicodedata
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from driftwell.session import cut_lineage
+
 # Letters of other scripts that look like Latin ones, in their usual fonts.
 LOOK_ALIKE = {
     "cyrillic": ("аеоісурхѕјһԁԛԝАВЕКМНОРСТХІЅЈУҮԌԚԜ", "aeoicypxsjhdqwABEKMHOPCTXISJYYGQW"),
@@ -43,8 +45,6 @@ def _tables() -> tuple[str, str]:
 
 
 FROM, TO = _tables()
-#: Most texts hold none of these: they skip the character-wise mapping.
-_MAY_DIFFER = f"[{FROM}{''.join(LIGATURES)}]"
 
 
 def mapped(text: Column) -> Column:
@@ -52,39 +52,68 @@ def mapped(text: Column) -> Column:
     plain = F.translate(text, FROM, TO)
     for a, b in LIGATURES.items():
         plain = F.replace(plain, F.lit(a), F.lit(b))
-    plain = F.when(text.rlike(_MAY_DIFFER), plain).otherwise(text)
     return F.nullif(F.trim(F.regexp_replace(F.regexp_replace(plain, UNSEEN, ""), BLANKS, " ")), F.lit(""))
 
 
+def _bases() -> tuple[str, str]:
+    """From and to of one translate() that drops what canonical composition adds: letter with mark -> letter."""
+    pairs = {}
+    for code in [*range(0xC0, 0x600), *range(0x1E00, 0x2000), *range(0x3040, 0x3100), *range(0xF900, 0xFB00)]:
+        to = unicodedata.normalize("NFD", chr(code))[0]
+        if to != chr(code):
+            pairs[chr(code)] = to
+    return "".join(pairs), "".join(pairs.values())
+
+
+#: Whatever else a canonical form may compose or a collation may ignore: marks, Hangul and its parts, other scripts' letters with marks.
+_VARIES = "[\\p{M}\\u0600-\\u1dff\\ua960-\\ua97f\\uac00-\\ud7ff\\ufb1d-\\ufb4f]+"
+
+
+def skeleton(form: Column) -> Column:
+    """Hash that is equal for all texts that the collation holds equal (and for some others): a blocking key."""
+    plain = F.regexp_replace(F.translate(form, *_bases()), _VARIES, "")
+    return F.xxhash64(F.when(form.rlike("[^\\x00-\\x7f]"), plain).otherwise(form))
+
+
 def fields(items: DataFrame, key: str, names: list[str]) -> DataFrame:
-    """field, key, text, mapped: one row for each non-blank value of the named columns."""
+    """field, key, form, block, mapped: one row for each non-blank value of the named columns."""
     each = F.explode(F.array(*[F.struct(F.lit(n).alias("field"), F.col(n).alias("text")) for n in names])).alias("x")
-    rows = items.select(F.col(key).alias("key"), each).select("key", "x.field", "x.text")
-    return rows.withColumn("mapped", mapped(F.col("text"))).filter("mapped is not null")
+    rows = items.select(F.col(key).alias("key"), each).select("key", "x.field", F.xxhash64("x.text").alias("form"), F.inline(F.array(F.struct(mapped(F.col("x.text")).alias("mapped")))))
+    return rows.filter("mapped is not null").select("field", "key", "form", skeleton(F.col("mapped")).alias("block"), "mapped")
 
 
-def classes(rows: DataFrame) -> DataFrame:
-    """field, look (collated), canonical, forms_differ of every class. Partial aggregates come before the shuffle."""
-    form = F.xxhash64("text")
-    return rows.withColumn("look", F.expr("mapped collate UNICODE")).groupBy("field", "look").agg(F.min("mapped").alias("canonical"), (F.min(form) != F.max(form)).alias("forms_differ"))
+def mixed(rows: DataFrame) -> DataFrame:
+    """The rows of blocks that hold more than one stored form, with ``canonical``: the class's least member.
+
+    Collations compare slowly, so only blocks in which something can differ are compared. The first
+    aggregate is partial before its shuffle: a text that a third of the rows share sends a row a task.
+    """
+    blocks = rows.groupBy("field", "block").agg((F.min("form") != F.max("form")).alias("several")).filter("several").select("field", "block")
+    inside = rows.join(blocks, ["field", "block"]).withColumn("look", F.expr("mapped collate UNICODE"))
+    # equal copies become one before the slow comparisons
+    members = inside.select("field", "mapped", "look").groupBy("field", "mapped").agg(F.first("look").alias("look"))
+    least = members.groupBy("field", "look").agg(F.min("mapped").alias("canonical"))
+    named = members.join(least, ["field", "look"]).select("field", "mapped", "canonical")
+    return inside.join(named, ["field", "mapped"]).select("field", "key", "form", "canonical")
 
 
 def canonical(rows: DataFrame) -> DataFrame:
     """field, key, canonical of every row of fields(); texts that look the same, and no others, are equal."""
-    of = classes(rows).select("field", "look", "canonical")
-    looks = rows.withColumn("look", F.expr("mapped collate UNICODE")).select("field", "key", "look")
-    return looks.join(of, ["field", "look"]).select("field", "key", "canonical").distinct()
+    some = mixed(rows).select("field", "form", "canonical").distinct()
+    out = rows.join(some, ["field", "form"], "left")
+    return out.select("field", "key", F.coalesce("canonical", "mapped").alias("canonical")).distinct()
 
 
 def seen_equal(rows: DataFrame) -> DataFrame:
     """field, key_a, key_b: different keys whose values look the same but are stored differently.
 
-    Only classes with several stored forms are joined back and paired, and equal forms are never
-    paired, so a text that very many rows share costs nothing unless it is stored differently too.
+    Only classes with several stored forms are paired, and equal forms are never paired, so a text
+    that very many rows share costs nothing unless it is stored differently too.
     """
-    mixed = classes(rows).filter("forms_differ").select("field", "look", "canonical")
-    looks = rows.withColumn("look", F.expr("mapped collate UNICODE")).select("field", "key", "look", F.xxhash64("text").alias("form"))
-    inside = looks.join(mixed, ["field", "look"]).select("field", "canonical", "key", "form").distinct()
+    # the few mixed rows are read four times below: written once to the shared folder
+    inside = cut_lineage(mixed(rows).distinct())
+    several = inside.groupBy("field", "canonical").agg((F.min("form") != F.max("form")).alias("several")).filter("several").select("field", "canonical")
+    inside = inside.join(several, ["field", "canonical"])
     a, b = inside.alias("a"), inside.alias("b")
     on = [F.col("a.field") == F.col("b.field"), F.col("a.canonical") == F.col("b.canonical"), F.col("a.key") < F.col("b.key"), F.col("a.form") != F.col("b.form")]
     return a.join(b, on).select("a.field", F.col("a.key").alias("key_a"), F.col("b.key").alias("key_b")).distinct()
