@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftwell.llm import lookalikes, packing, tokens
+from driftwell.llm import languages, lookalikes, packing, tokens
 from driftwell.sources.tables import table
 
 
@@ -38,5 +38,15 @@ def p2_canonical(spark: SparkSession, d: str) -> DataFrame:
     return lookalikes.canonical(_p2_rows(spark, d)).select("field", F.col("key").alias("item_id"), "canonical")
 
 
-QUERIES = {"p2_found": p2_found, "p2_canonical": p2_canonical, "p7_ids": p7_ids, "p8_containers": p8_containers, "p8_fill": p8_fill}
+def p4_segments(spark: SparkSession, d: str) -> DataFrame:
+    """id, seg, lang, confidence, case of every segment of every title."""
+    return languages.segments(table(spark, d, "items", "id", "title", "lang"))
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    """item_id, seg, lang of items whose title mixes languages or whose label is missing or wrong."""
+    return p4_segments(spark, d).filter("case").select(F.col("id").alias("item_id"), "seg", "lang").distinct()
+
+
+QUERIES = {"p4_found": p4_found, "p4_segments": p4_segments, "p2_found": p2_found, "p2_canonical": p2_canonical, "p7_ids": p7_ids, "p8_containers": p8_containers, "p8_fill": p8_fill}
 ORACLES: dict[str, str] = {}
