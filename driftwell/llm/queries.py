@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftwell.llm import languages, lookalikes, packing, tokens
+from driftwell.llm import gazetteer, languages, lookalikes, packing, tokens
 from driftwell.sources.tables import table
 
 
@@ -48,5 +48,20 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return p4_segments(spark, d).filter("case").select(F.col("id").alias("item_id"), "seg", "lang").distinct()
 
 
-QUERIES = {"p4_found": p4_found, "p4_segments": p4_segments, "p2_found": p2_found, "p2_canonical": p2_canonical, "p7_ids": p7_ids, "p8_containers": p8_containers, "p8_fill": p8_fill}
+def p3_matches(spark: SparkSession, d: str) -> DataFrame:
+    """item_id, city, country, place_id, country_code, matched of every event with a typed city."""
+    return gazetteer.match_events(table(spark, d, "item_events", "item_id", "city", "country", "tz"), table(spark, d, "places"), table(spark, d, "countries"))
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    """item_id, place_id, country_code of every event with a typed city."""
+    return p3_matches(spark, d).select("item_id", "place_id", "country_code").distinct()
+
+
+def p3_unmatched(spark: SparkSession, d: str) -> DataFrame:
+    """city, country, events: typed values that mean no entry, and how many events have them."""
+    return p3_matches(spark, d).filter("not matched").groupBy("city", "country").agg(F.count("*").alias("events"))
+
+
+QUERIES = {"p3_found": p3_found, "p3_matches": p3_matches, "p3_unmatched": p3_unmatched, "p4_found": p4_found, "p4_segments": p4_segments, "p2_found": p2_found, "p2_canonical": p2_canonical, "p7_ids": p7_ids, "p8_containers": p8_containers, "p8_fill": p8_fill}
 ORACLES: dict[str, str] = {}

@@ -34,7 +34,7 @@ def test_held_out_labels(spark, machines):
     """Titles of other rows whose label is right: the machines agree with nearly all labels."""
     rows = spark.read.parquet("/root/testdata/sf0.001/items.parquet").select("title", "lang").collect()
     single = [(G.label(r.lang), s[0][0]) for r in rows if r.title and G.label(r.lang) and len(s := machines.segments(r.title)) == 1]
-    assert sum(a == b for a, b in single) > 0.88 * len(single) > 300  # the rest are the planted wrong labels
+    assert sum(a == b for a, b in single) > 0.88 * len(single) > 130  # the rest are the planted wrong labels
 
 
 def test_labels():
