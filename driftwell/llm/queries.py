@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftwell.llm import gazetteer, languages, lookalikes, packing, tokens
+from driftwell.llm import gazetteer, languages, lookalikes, packing, pages, tokens
 from driftwell.sources.tables import table
 
 
@@ -63,5 +63,16 @@ def p3_unmatched(spark: SparkSession, d: str) -> DataFrame:
     return p3_matches(spark, d).filter("not matched").groupBy("city", "country").agg(F.count("*").alias("events"))
 
 
-QUERIES = {"p3_found": p3_found, "p3_matches": p3_matches, "p3_unmatched": p3_unmatched, "p4_found": p4_found, "p4_segments": p4_segments, "p2_found": p2_found, "p2_canonical": p2_canonical, "p7_ids": p7_ids, "p8_containers": p8_containers, "p8_fill": p8_fill}
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    """raw_path, block_md5 of every different block of every page's article."""
+    # a page is one row, so equal blocks are made one without a shuffle where raw_path is unique; distinct() keeps it true elsewhere
+    return pages.article_blocks(table(spark, d, "raw_pages", "raw_path", "body")).select("raw_path", "block_md5").distinct()
+
+
+def p5_rendered(spark: SparkSession, d: str) -> DataFrame:
+    """raw_path, rendered, article: every page as text, whole and without its surroundings."""
+    return pages.rendered(table(spark, d, "raw_pages", "raw_path", "body"))
+
+
+QUERIES = {"p5_found": p5_found, "p5_rendered": p5_rendered, "p3_found": p3_found, "p3_matches": p3_matches, "p3_unmatched": p3_unmatched, "p4_found": p4_found, "p4_segments": p4_segments, "p2_found": p2_found, "p2_canonical": p2_canonical, "p7_ids": p7_ids, "p8_containers": p8_containers, "p8_fill": p8_fill}
 ORACLES: dict[str, str] = {}
