@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftwell.llm import gazetteer, languages, lookalikes, packing, pages, tokens
+from driftwell.llm import gazetteer, languages, lookalikes, packing, pages, subjects, tokens
 from driftwell.sources.tables import table
 
 
@@ -74,5 +74,15 @@ def p5_rendered(spark: SparkSession, d: str) -> DataFrame:
     return pages.rendered(table(spark, d, "raw_pages", "raw_path", "body"))
 
 
-QUERIES = {"p5_found": p5_found, "p5_rendered": p5_rendered, "p3_found": p3_found, "p3_matches": p3_matches, "p3_unmatched": p3_unmatched, "p4_found": p4_found, "p4_segments": p4_segments, "p2_found": p2_found, "p2_canonical": p2_canonical, "p7_ids": p7_ids, "p8_containers": p8_containers, "p8_fill": p8_fill}
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    """doc_id, subject, share for each subject that a document is about."""
+    return subjects.document_subjects(table(spark, d, "documents", "doc_id", "text"), table(spark, d, "subject_examples", "subject", "text"))
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    """doc_id, subject for each subject that a document is about."""
+    return p9_shares(spark, d).select("doc_id", "subject")
+
+
+QUERIES = {"p9_found": p9_found, "p9_shares": p9_shares, "p5_found": p5_found, "p5_rendered": p5_rendered, "p3_found": p3_found, "p3_matches": p3_matches, "p3_unmatched": p3_unmatched, "p4_found": p4_found, "p4_segments": p4_segments, "p2_found": p2_found, "p2_canonical": p2_canonical, "p7_ids": p7_ids, "p8_containers": p8_containers, "p8_fill": p8_fill}
 ORACLES: dict[str, str] = {}
