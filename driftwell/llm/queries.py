@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftwell.llm import gazetteer, languages, lookalikes, packing, pages, subjects, tokens
+from driftwell.llm import gazetteer, languages, lookalikes, packing, pages, subjects, tokens, truncation
 from driftwell.sources.tables import table
 
 
@@ -84,5 +84,24 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return p9_shares(spark, d).select("doc_id", "subject")
 
 
-QUERIES = {"p9_found": p9_found, "p9_shares": p9_shares, "p5_found": p5_found, "p5_rendered": p5_rendered, "p3_found": p3_found, "p3_matches": p3_matches, "p3_unmatched": p3_unmatched, "p4_found": p4_found, "p4_segments": p4_segments, "p2_found": p2_found, "p2_canonical": p2_canonical, "p7_ids": p7_ids, "p8_containers": p8_containers, "p8_fill": p8_fill}
+def _p1_rows(spark: SparkSession, d: str) -> DataFrame:
+    return truncation.rows_of(table(spark, d, "items", "id", "source_id", "summary"), "id", "source_id", "summary")
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    """item_id of every item whose summary was cut."""
+    return truncation.truncated(_p1_rows(spark, d)).filter("cut").select(F.col("key").alias("item_id")).distinct()
+
+
+def p1_sources(spark: SparkSession, d: str) -> DataFrame:
+    """source, texts, cut, share: how often each source cuts its summaries."""
+    return truncation.source_report(truncation.truncated(_p1_rows(spark, d)))
+
+
+def p1_limits(spark: SparkSession, d: str) -> DataFrame:
+    """source, measure, length, texts, ... of every hidden storage limit."""
+    return truncation.limits(truncation.judged(_p1_rows(spark, d)))
+
+
+QUERIES = {"p1_found": p1_found, "p1_sources": p1_sources, "p1_limits": p1_limits, "p9_found": p9_found, "p9_shares": p9_shares, "p5_found": p5_found, "p5_rendered": p5_rendered, "p3_found": p3_found, "p3_matches": p3_matches, "p3_unmatched": p3_unmatched, "p4_found": p4_found, "p4_segments": p4_segments, "p2_found": p2_found, "p2_canonical": p2_canonical, "p7_ids": p7_ids, "p8_containers": p8_containers, "p8_fill": p8_fill}
 ORACLES: dict[str, str] = {}
