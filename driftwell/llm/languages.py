@@ -213,9 +213,13 @@ class Machines:
 
 def train(items: DataFrame, title: str = "title", lang: str = "lang", rows: int = TRAIN_ROWS) -> Machines:
     """Machines fitted on at most *rows* labelled titles; titles found mixed or mislabelled are left out."""
-    order = F.xxhash64(title, lang)
-    labelled = items.select(title, lang, order.alias("__order")).filter(F.col(title).isNotNull() & F.lower(F.regexp_extract(F.trim(F.col(lang)), r"^[^-_]*", 0)).isin(list(CODE_OF)))
-    some = [(r[0], label(r[1])) for r in labelled.orderBy("__order", title).limit(rows).collect()]
+    named = F.col(title).isNotNull() & F.lower(F.regexp_extract(F.trim(F.col(lang)), r"^[^-_]*", 0)).isin(list(CODE_OF))
+    labelled = items.select(title, lang).filter(named)
+    span = 2**62
+    order = F.pmod(F.xxhash64(title, lang), F.lit(span))
+    # a share of the hash range first: no task hands on more than the fit needs, however many there are
+    share = int(span * min(1.0, 2.0 * rows / max(1, labelled.count())))
+    some = [(r[0], label(r[1])) for r in labelled.filter(order <= share).orderBy(order, title, lang).limit(rows).collect()]
     some = [(t, y) for t, y in some if y]
     features = [[ngrams(w) for w, _ in words(plain(t))] for t, _ in some]
     first = Machines().fit(features, [y for _, y in some])
