@@ -58,12 +58,17 @@ def rounded(sizes: list[tuple[int, int]], groups: int) -> list[list[tuple[int, i
 
 def best_pattern(sizes: list[int], value: np.ndarray, capacity: int) -> tuple[float, list[int]]:
     """Multiset of *sizes* of the greatest value that fits: an unbounded knapsack by dynamic programming."""
-    best, choice = np.zeros(capacity + 1), np.full(capacity + 1, -1)
-    for room in range(min(sizes, default=capacity + 1), capacity + 1):
-        best[room], choice[room] = best[room - 1], -1
-        for k, s in enumerate(sizes):
-            if s <= room and best[room - s] + value[k] > best[room] + 1e-12:
-                best[room], choice[room] = best[room - s] + value[k], k
+    size = np.array(sizes)
+    pad = int(size.max())
+    best, choice = np.full(pad + capacity + 1, -np.inf), np.full(capacity + 1, -1)  # best[pad + room]
+    best[pad : pad + int(size.min())] = 0.0
+    for room in range(int(size.min()), capacity + 1):
+        worth = best[pad + room - size] + value
+        k = int(worth.argmax())
+        if worth[k] > best[pad + room - 1] + 1e-12:
+            best[pad + room], choice[room] = worth[k], k
+        else:
+            best[pad + room] = best[pad + room - 1]
     pattern, room = [0] * len(sizes), capacity
     while room > 0:
         if choice[room] < 0:
@@ -71,7 +76,7 @@ def best_pattern(sizes: list[int], value: np.ndarray, capacity: int) -> tuple[fl
         else:
             pattern[choice[room]] += 1
             room -= sizes[choice[room]]
-    return float(best[capacity]), pattern
+    return float(best[pad + capacity]), pattern
 
 
 def configurations(sizes: list[int], demand: list[int], capacity: int, rounds: int = 400) -> list[tuple[list[int], int]]:
@@ -86,7 +91,7 @@ def configurations(sizes: list[int], demand: list[int], capacity: int, rounds: i
         inverse = np.linalg.inv(basis)
         prices = np.ones(m) @ inverse
         value, pattern = best_pattern(sizes, np.maximum(prices, 0), capacity)
-        if value <= 1 + 1e-7:
+        if value <= 1 + 1e-5:  # a better configuration would save less than the rounding loses
             break
         direction = inverse @ np.array(pattern, dtype=float)
         ratios = np.where(direction > 1e-9, x / np.where(direction > 1e-9, direction, 1), np.inf)
