@@ -89,7 +89,8 @@ def mixed(rows: DataFrame) -> DataFrame:
     aggregate is partial before its shuffle: a text that a third of the rows share sends a row a task.
     """
     blocks = rows.groupBy("field", "block").agg((F.min("form") != F.max("form")).alias("several")).filter("several").select("field", "block")
-    inside = rows.join(blocks, ["field", "block"]).withColumn("look", F.expr("mapped collate UNICODE"))
+    # the few mixed rows are read several times below: written once to the shared folder
+    inside = cut_lineage(rows.join(blocks, ["field", "block"], "left_semi")).withColumn("look", F.expr("mapped collate UNICODE"))
     # equal copies become one before the slow comparisons
     members = inside.select("field", "mapped", "look").groupBy("field", "mapped").agg(F.first("look").alias("look"))
     least = members.groupBy("field", "look").agg(F.min("mapped").alias("canonical"))
@@ -110,8 +111,7 @@ def seen_equal(rows: DataFrame) -> DataFrame:
     Only classes with several stored forms are paired, and equal forms are never paired, so a text
     that very many rows share costs nothing unless it is stored differently too.
     """
-    # the few mixed rows are read four times below: written once to the shared folder
-    inside = cut_lineage(mixed(rows).distinct())
+    inside = mixed(rows).distinct()
     several = inside.groupBy("field", "canonical").agg((F.min("form") != F.max("form")).alias("several")).filter("several").select("field", "canonical")
     inside = inside.join(several, ["field", "canonical"])
     a, b = inside.alias("a"), inside.alias("b")
