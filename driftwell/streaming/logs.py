@@ -1,7 +1,8 @@
 """Structured Streaming over the fetch log: what the batch operators compute, kept up to date.
 
 State is one small record a key. Rows of a key are ordered by (time, id) inside a micro-batch; a row older
-than the state's last one is late: it gets a null result and is counted, never reordered.
+than the state's last one is late: it gets a null result and is counted, never reordered. What one key
+holds at a time is its rows of one micro-batch, so a busy log sets maxFilesPerTrigger on its source.
 """
 
 from __future__ import annotations
