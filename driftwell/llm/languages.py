@@ -44,7 +44,7 @@ CODE_OF = {name: code for code, names in CODES.items() for name in names.split()
 TRAIN_ROWS = 5000
 WIDTH = 1 << 16
 #: Price of a change of language inside a text, and at a separator.
-CHANGE, CHANGE_AT_SEPARATOR = 14.0, 6.0
+CHANGE, CHANGE_AT_SEPARATOR = 8.0, 5.0
 #: A single word's margin in one machine counts up to this.
 LIMIT = 1.5
 #: Weight of a word inside a name: names keep the spelling of their own language.
