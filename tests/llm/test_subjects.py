@@ -54,3 +54,20 @@ def test_rows(spark, model, examples):
     assert got == [(0, "law"), (1, "law"), (1, "law"), (4, "law")]
     assert S.document_subjects(df.limit(0), ex).collect() == []
     assert S.document_subjects(df, ex.limit(0)).collect() == []
+
+
+def test_fit_takes_all_documents(spark, examples):
+    """Each of 6,500 documents has a word of its own: the model knows all of them."""
+    own = ["zq" + "".join(chr(97 + i // 26**k % 26) for k in range(3)) for i in range(6500)]
+    df = spark.createDataFrame([(i, f"Os associados podem recorrer da sanção {w}.") for i, w in enumerate(own)], "doc_id long, text string")
+    known = S.fit(df, spark.createDataFrame(examples, "subject string, text string")).words
+    assert sum(w not in known for w in own) == 0
+
+
+def test_fit_in_tasks_equals_fit_in_memory(spark, data, examples):
+    df = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text").repartition(3)
+    rows = df.collect()
+    model = S.train(examples, [r.text for r in rows])
+    want = {(r.doc_id, n): round(v, 9) for r in rows for n, v in zip(model.names, S.shares(model, r.text).tolist(), strict=True) if v >= S.SHARE}
+    got = S.document_subjects(df, spark.createDataFrame(examples, "subject string, text string")).collect()
+    assert {(r.doc_id, r.subject): round(r.share, 9) for r in got} == want and len(got) == len(want) > 50
