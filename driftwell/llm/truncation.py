@@ -6,8 +6,9 @@ Two kinds of evidence are joined.
 in its text is complete. Its ending (the last words without numbers and names, and the last word) goes
 into a table of endings with the number of texts it was seen in. A text's last sentence is complete if
 its ending is in that table; it is cut if it stops elsewhere, in a broken entity, tag, escape or
-character, or at a mark of omission. Addresses, places in brackets and short labels are complete when
-the corpus has them often. A full stop alone proves nothing: some feeds put one after a cut.
+character, or at a mark of omission. Places in brackets are complete, and so are addresses and short labels
+that a share of the corpus's items have: copies of an item count once, and the share, unlike a number, is not
+reached by stock sentences cut at the same place as the corpus grows. A full stop alone proves nothing: some feeds put one after a cut.
 
 *Limits.* For every text the length is computed under several encodings: characters, UTF-8 bytes,
 UTF-16 units, HTML entities, JSON escapes, line ends of two characters. Per source and encoding, a
@@ -34,8 +35,8 @@ from pyspark.sql import functions as F
 from driftwell.llm.lookalikes import LOOK_ALIKE
 from driftwell.session import cut_lineage
 
-#: Texts in which an ending must have been seen, and a label or address must stand.
-SEEN, LABEL_SEEN = 2, 3
+#: Texts in which an ending must have been seen, and items in which a label or address must stand: so many, and such a share of all.
+SEEN, LABEL_SEEN, LABEL_SHARE = 2, 3, 1e-4
 #: Texts that a limit needs, and times that it must exceed the mean of the 30 lengths around it.
 LIMIT_TEXTS, LIMIT_TIMES = 6, 4
 
@@ -118,7 +119,7 @@ def _tail_keys(tail: str, whole: bool) -> tuple[str, str, str]:
 
 
 def ends_of(raw: str) -> tuple[tuple[str, str, str, str], set[str]]:
-    """((kind, key, second key, last word) of a text's end, keys of the complete endings that it shows).
+    """((kind, key, key as a label or address, last word) of a text's end, keys of the complete endings that it shows).
 
     kind is cut, url, bracket, label, stop or open.
     """
@@ -146,16 +147,14 @@ def ends_of(raw: str) -> tuple[tuple[str, str, str, str], set[str]]:
     word = tail[max(tail.rfind(c) for c in " \t\n　:：、。") + 1 :] if "://" not in tail else tail[tail.rfind("://") - 5 :].rpartition(" ")[2]
     if not plain_stop and _URL.search(word):
         word = word.rstrip(".,;)").lower()
-        seen.add(key := "url:" + ("@" + word.rpartition(".")[2] if "@" in word else word.rpartition("/")[2]))
-        return ("url", key, "", ""), seen
+        return ("url", "", "url:" + ("@" + word.rpartition(".")[2] if "@" in word else word.rpartition("/")[2]), ""), seen
     if final.endswith((")", "）")) and final.count("(") + final.count("（") == final.count(")") + final.count("）"):
         return ("bracket", "", "", ""), seen
     stop = _STOP.search(final[-40:])
     end = (final[: len(final) - len(final[-40:]) + stop.start()] if stop else final).rstrip()
     key, last, _ = _tail_keys(end[-TAIL:], len(end) <= TAIL)
     if not stop and len(body) <= 40 and not at:
-        seen.add(label := "label:" + body.lower())
-        return ("label", key, label, last), seen
+        return ("label", key, "label:" + body.lower(), last), seen
     return ("stop" if stop else "open", key, "", last), seen
 
 
@@ -221,17 +220,20 @@ def judged(rows: DataFrame) -> DataFrame:
     both = cut_lineage(read_ends(rows))  # holds no texts; read three times below
     table = both.filter("seen is not null").groupBy("end_key").agg(F.sum("seen").alias("end_seen"))
     by_last = table.filter("end_key like 'last:%'").select(F.expr("substring(end_key, 6)").alias("last"), F.col("end_seen").alias("last_seen"))
-    by_label = table.filter("end_key like 'label:%'").select(F.col("end_key").alias("label_key"), F.col("end_seen").alias("label_seen"))
-    e = both.filter("seen is null").drop("seen").distinct()
+    texts = both.filter("seen is null").drop("seen")
+    item = F.struct("key")  # a null key is one as well
+    by_label = texts.filter("label_key <> ''").groupBy("label_key").agg(F.count_distinct(item).alias("label_seen"))
+    often = max(LABEL_SEEN, LABEL_SHARE * texts.agg(F.count_distinct(item)).first()[0])
+    e = texts.distinct()
     e = e.join(table, "end_key", "left").join(by_last, "last", "left").join(by_label, "label_key", "left")
     end, last, label = (F.coalesce(c, F.lit(0)) for c in ("end_seen", "last_seen", "label_seen"))
     # after a full stop a last word seen once is enough: half a name never ends a sentence
     known = (end >= SEEN) & (F.col("last").isin("#", "ja") | (last >= F.when(F.col("kind") == "stop", 1).otherwise(SEEN)))
     inside = (
         F.when(F.col("kind") == "cut", True)
-        .when(F.col("kind") == "url", end < LABEL_SEEN)
+        .when(F.col("kind") == "url", label < often)
         .when(F.col("kind") == "bracket", False)
-        .when(F.col("kind") == "label", (label < LABEL_SEEN) & ~known)
+        .when(F.col("kind") == "label", (label < often) & ~known)
         .otherwise(~known)
     )
     return e.withColumn("inside", inside).drop("end_seen", "last_seen", "label_seen", "end_key", "label_key", "last")

@@ -74,3 +74,17 @@ def test_edges(spark):
     assert sorted(got, key=str) == [(4, True), (5, True), (None, True)]
     empty = T.truncated(T.rows_of(df.limit(0), "id", "source_id", "summary"))
     assert empty.collect() == [] and T.source_report(empty).collect() == []
+
+
+def test_texts_do_not_vouch_for_themselves(spark):
+    """A label is complete by the share of the items that have it: neither copies nor a larger corpus make a cut one complete."""
+    common = [(i, f"{i} {SENTENCES[i % 7]}.") for i in range(60_000)]
+    labels = [(100_000 + i, "Comunicado") for i in range(60)] + [(101_000 + i, "Em https://a.example/programa") for i in range(60)]
+    cuts = [(200_000 + i, "Bring your passport and check your vi") for i in range(4)] + [(201_000 + i, "Em https://a.example/progr") for i in range(4)]
+    df = spark.createDataFrame([(i, "s", t) for i, t in common + labels + cuts], "id long, source_id string, summary string")
+    got = {r.key: r.cut for r in T.truncated(T.rows_of(df, "id", "source_id", "summary")).filter("key >= 100000").collect()}
+    assert {i for i, cut in got.items() if cut} == {i for i, _ in cuts}
+    copies = [(1, "s", "Bring your passport and check your vi")] * 5 + [(10 + i, "s", "Comunicado") for i in range(3)] + [(20, "s", "Uma frase.")]
+    df = spark.createDataFrame([(*r[:2], r[2]) for r in copies], "id long, source_id string, summary string")
+    got = {r.key: r.cut for r in T.truncated(T.rows_of(df, "id", "source_id", "summary")).collect()}
+    assert got[1] and not any(got[10 + i] for i in range(3))
