@@ -25,9 +25,10 @@ def fmt_date(iso: Column) -> Column:
 
 
 def fmt_range(start: Column, end: Column) -> Column:
-    """Four shapes: one day, one month, one year, else two full dates."""
+    """Four shapes: one day, one month, one year, else two full dates; texts that are no dates stand as they are."""
     day = lambda c: _part(c, 9, 2).cast("string")
-    same_year, same_month = _part(start, 1, 4) == _part(end, 1, 4), _part(start, 6, 2) == _part(end, 6, 2)
+    shaped = start.rlike(r"\A\d{4}-\d{2}-\d{2}") & end.rlike(r"\A\d{4}-\d{2}-\d{2}")
+    same_year, same_month = shaped & (_part(start, 1, 4) == _part(end, 1, 4)), _part(start, 6, 2) == _part(end, 6, 2)
     one_month = F.concat(day(start), F.lit("–"), day(end), F.lit(" "), _month(start), F.lit(" "), F.substring(start, 1, 4))
     one_year = F.concat(day(start), F.lit(" "), _month(start), F.lit(" – "), day(end), F.lit(" "), _month(end), F.lit(" "), F.substring(start, 1, 4))
     return (

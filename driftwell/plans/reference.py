@@ -81,6 +81,11 @@ def _clean_dates(s: SparkSession, d: str) -> DataFrame:
     return e.select("item_id", dates.fmt_date(F.col("starts_at")).alias("one"), dates.fmt_range(F.col("starts_at"), F.col("ends_at")).alias("both"))
 
 
+def _all_dates(s: SparkSession, d: str) -> DataFrame:
+    """date_range_fmt of every event, whatever was typed."""
+    return _events(s, d).select("item_id", dates.fmt_date(F.col("starts_at")).alias("one"), dates.fmt_range(F.col("starts_at"), F.col("ends_at")).alias("both"))
+
+
 def _stats(s: SparkSession, d: str) -> DataFrame:
     return views.stats(table(s, d, "sources"), _items(s, d, "id", "type"), _events(s, d), table(s, d, "orgs"), table(s, d, "fetches", "fetched_at"), AS_OF)
 
@@ -101,6 +106,14 @@ def _event_upsert(s: SparkSession, d: str) -> DataFrame:
     return out.select("item_id", "city", "lineage", "region", "org_id", "merge_state")
 
 
+def _event_upsert_all(s: SparkSession, d: str) -> DataFrame:
+    """event_upsert_preserve with every event on one side at least."""
+    e = _events(s, d)
+    new = e.filter("item_id % 2 = 0 or item_id % 5 = 0").withColumns({"city": F.upper("city"), "lineage": F.lit("x"), "region": F.lit("y"), "org_id": F.lit("z")})
+    out = it.upsert_events(e.filter("item_id % 5 <> 0"), new)
+    return out.select("item_id", "city", "lineage", "region", "org_id", "merge_state")
+
+
 QUERIES = {
     "change_detection": lambda s, d: _changes(s, d).select("id", "previous_hash", "changed_now"),
     "fetch_outcome": lambda s, d: _changes(s, d).select("id", "outcome"),
@@ -115,8 +128,10 @@ QUERIES = {
     "future_events": _agenda,
     "agenda_facets": lambda s, d: views.facets(_agenda(s, d), country="BR").select("item_id", "city"),
     "agenda_lines": lambda s, d: views.agenda_lines(_agenda(s, d).filter("starts_at rlike '^[0-9]{4}-[0-9]{2}-[0-9]{2}' and (ends_at is null or ends_at rlike '^[0-9]{4}-[0-9]{2}-[0-9]{2}')")),
+    "agenda_lines_all": lambda s, d: views.agenda_lines(_agenda(s, d)),
     "facet_values": lambda s, d: views.facet_values(_agenda(s, d)),
     "date_range_fmt": _clean_dates,
+    "date_range_fmt_all": _all_dates,
     "news_feed_top120": lambda s, d: views.feed(_items(s, d, "id", "type", "title", "title_pt", "summary_pt", "url", "lang", "published_at", "discovered_at", "source_id"), table(s, d, "sources")),
     "feed_labels": lambda s, d: views.feed_labels(_items(s, d, "id", "type", "lang", "summary")),
     "recent_news_month": lambda s, d: views.recent_news(_items(s, d, "id", "type", "title", "title_pt", "url", "published_at", "source_id"), table(s, d, "sources"), AS_OF),
@@ -139,6 +154,7 @@ QUERIES = {
     "page_title": lambda s, d: table(s, d, "raw_pages", "raw_path", "body").select("raw_path", text.collapse(F.regexp_extract("body", r"(?is)<title[^>]*>(.*?)</title>", 1)).alias("title"), F.regexp_count("body", F.lit(r"<a [^>]*href=")).cast("bigint").alias("links")),
     "news_records_items": lambda s, d: _news_items(s, d),
     "upsert_items": _upsert,
+    "event_upsert_all": _event_upsert_all,
     "event_upsert_preserve": _event_upsert,
     "seed_insert_ignore": lambda s, d: it.fill(it.insert_ignore(table(s, d, "orgs").filter("kind <> 'dojo'"), table(s, d, "orgs"), "id"), "instagram", {"org026_gelidino": "seeded"}).select("id", "instagram"),
 }
