@@ -161,8 +161,8 @@ def normalise(df: DataFrame, value: str, *, hint: str | None = None, default: st
 
     kept = df.columns
     df = step(df, hit=F.regexp_replace(plain(F.col(value)), PATTERN, REPLACEMENT), t=plain(F.col(hint)) if hint else F.lit(None).cast("string"))
-    df = step(df, x=F.when(F.col("__tn_hit").startswith("\x01"), F.split(F.substring("__tn_hit", 2, 300), "\x02")))
-    df = step(df, **{name: f"nullif(__tn_x[{i}], '')" for i, name in enumerate(FIELDS)})
+    df = step(df, x=F.when(F.col("__tn_hit").startswith("\x01"), F.split(F.expr("substring(__tn_hit, 2)"), "\x02")))
+    df = step(df, **{name: f"nullif(get(__tn_x, {i}), '')" for i, name in enumerate(FIELDS)})
     signs = r"\A(?:utc|gmt)? ?([+\-])(\d{1,2})(?::?(\d{2}))?\z"
     fold = lambda c: F.translate(f"__tn_{c}", "_áàâãäéèêíîóôõöúûüçñ", " aaaaaeeeiioooouuucn")
     df = step(df, tf=fold("t"), zf=fold("z"), bf=fold("b"), half="substring(translate(__tn_ap, '.', ''), 1, 2)",

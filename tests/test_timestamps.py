@@ -89,3 +89,10 @@ def test_copies_count_once_and_empty_tables(spark, data):
     out = T.readable_times(*args).collect()
     assert len(out) == len({(r.field, r.row_key) for r in out}) > 300
     assert T.readable_times(*[a.limit(0) for a in args]).collect() == []
+
+
+def test_long_bracketed_zone(spark):
+    """However long the zone in brackets is, the value is read; a zone of no name gives way to the offset."""
+    values = [f"2026-07-04T04:56+09:00[{'x' * n}]" for n in (10, 280, 400, 100_000)]
+    df = spark.createDataFrame([(v, "UTC") for v in values], "value string, zone string")
+    assert [r.utc for r in T.normalise(df, "value", default="zone").collect()] == ["2026-07-03T19:56:00Z"] * 4
