@@ -66,12 +66,12 @@ def p3_unmatched(spark: SparkSession, d: str) -> DataFrame:
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     """raw_path, block_md5 of every different block of every page's article."""
     # a page is one row, so equal blocks are made one without a shuffle where raw_path is unique; distinct() keeps it true elsewhere
-    return pages.article_blocks(table(spark, d, "raw_pages", "raw_path", "body")).select("raw_path", "block_md5").distinct()
+    return pages.article_blocks(table(spark, d, "raw_pages", "raw_path", "source_id", "body")).select("raw_path", "block_md5").distinct()
 
 
 def p5_rendered(spark: SparkSession, d: str) -> DataFrame:
     """raw_path, rendered, article: every page as text, whole and without its surroundings."""
-    return pages.rendered(table(spark, d, "raw_pages", "raw_path", "body"))
+    return pages.rendered(table(spark, d, "raw_pages", "raw_path", "source_id", "body"))
 
 
 def p9_shares(spark: SparkSession, d: str) -> DataFrame:
