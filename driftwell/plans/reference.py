@@ -151,8 +151,6 @@ QUERIES = {
     "blocklist_anti": lambda s, d: catalog.allowed(table(s, d, "sources").select("id", "url"), table(s, d, "sources").filter("priority = 3").select(F.regexp_extract("url", "//([^/]+)", 1).alias("domain"))).select("id"),
     "endpoint_resolution": lambda s, d: table(s, d, "sources").select("id", catalog.endpoint(F.col("engine"), F.col("url")).alias("endpoint")),
     "payload_sniff": lambda s, d: table(s, d, "raw_pages", "raw_path", "body").select("raw_path", text.payload_kind(F.col("body")).alias("kind")),
-    "page_title": lambda s, d: table(s, d, "raw_pages", "raw_path", "body").select("raw_path", text.collapse(F.regexp_extract("body", r"(?is)<title[^>]*>(.*?)</title>", 1)).alias("title"), F.regexp_count("body", F.lit(r"<a [^>]*href=")).cast("bigint").alias("links")),
-    "news_records_items": lambda s, d: _news_items(s, d),
     "upsert_items": _upsert,
     "event_upsert_all": _event_upsert_all,
     "event_upsert_preserve": _event_upsert,
@@ -160,14 +158,6 @@ QUERIES = {
 }
 
 
-def _news_items(s: SparkSession, d: str) -> DataFrame:
-    """Records of the news API as items."""
-    n = table(s, d, "news_records", "id", "news_date", "kind_str", "link_type", "news_link", "news_title").distinct()
-    url = F.when(F.col("link_type") == "detail", F.concat(F.lit("https://news.example/detail/?news_id="), F.col("id"))).otherwise(F.nullif("news_link", F.lit("")))
-    title = F.trim("news_title")
-    return n.select("id", url.alias("url"), title.alias("title"), dates.slash_date(F.col("news_date")).alias("published_at"), F.nullif("kind_str", F.lit("")).alias("summary")).filter("url is not null and title <> ''")
-
-
 def _outcome_sql() -> str:
     return f"""WITH {F_}, h AS (SELECT *, CASE WHEN http_status = 200 THEN content_hash END hh FROM f),
       p AS (SELECT *, last_value(hh IGNORE NULLS) OVER (PARTITION BY source_id, endpoint ORDER BY fetched_at, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS previous_hash FROM h),
@@ -248,9 +238,6 @@ ORACLES = {
     "blocklist_anti": "WITH b AS (SELECT regexp_extract(url, '//([^/]+)', 1) AS d FROM sources WHERE priority = 3), h AS (SELECT id, regexp_replace(lower(regexp_extract(url, '//([^/:]+)', 1)), '^www\\.', '') AS host FROM sources) SELECT id FROM h WHERE NOT EXISTS (SELECT 1 FROM b WHERE host = d OR suffix(host, '.' || d))",
     "endpoint_resolution": "SELECT id, CASE engine WHEN 'wp_json' THEN regexp_extract(url, '^[a-z]+://[^/?#]+') || '/wp-json/wp/v2/posts?per_page=20&_fields=id,link,title,excerpt,date_gmt,modified_gmt' WHEN 'rss' THEN rtrim(url, '/') || '/feed/' ELSE url END AS endpoint FROM sources",
     "payload_sniff": "WITH h AS (SELECT raw_path, regexp_replace(substr(body, 1, 400), '^\\s+', '') AS h FROM raw_pages) SELECT raw_path, CASE WHEN h[1] IN ('[', '{') THEN 'json' WHEN substr(h, 1, 5) IN ('<?xml', '<rss ', '<feed') THEN 'xml' ELSE 'html' END AS kind FROM h",
-    "page_title": rf"SELECT raw_path, {_STRIP('regexp_replace(regexp_extract(body, ' + chr(39) + '(?is)<title[^>]*>(.*?)</title>' + chr(39) + ', 1), ' + chr(39) + _WS + '+' + chr(39) + ', ' + chr(39) + ' ' + chr(39) + ', ' + chr(39) + 'g' + chr(39) + ')')} AS title, len(regexp_extract_all(body, '<a [^>]*href=')) AS links FROM raw_pages",
-    "news_records_items": """WITH n AS (SELECT DISTINCT id, news_date, kind_str, link_type, news_link, news_title FROM news_records), x AS (SELECT id, CASE WHEN link_type = 'detail' THEN 'https://news.example/detail/?news_id=' || id ELSE nullif(news_link, '') END AS url, trim(news_title) AS title, nullif(replace(news_date, '/', '-'), '') AS published_at, nullif(kind_str, '') AS summary FROM n)
-      SELECT * FROM x WHERE url IS NOT NULL AND title <> ''""",
     "upsert_items": f"""WITH {I_}, o AS (SELECT *, {_ITEM_HASH} AS h FROM i WHERE id % 3 <> 0), m AS (SELECT * REPLACE (CASE WHEN id % 6 = 2 THEN title || ' (2)' ELSE title END AS title) FROM i WHERE id % 3 <> 1), n AS (SELECT *, {_ITEM_HASH} AS h FROM m),
       j AS (SELECT coalesce(o.url, n.url) AS url, CASE WHEN o.url IS NULL THEN 'new' WHEN n.url IS NULL THEN 'kept' WHEN o.h <> n.h THEN 'updated' ELSE 'unchanged' END AS merge_state, o.title ot, n.title nt, o.title_pt op, n.title_pt np, o.h oh, n.h nh FROM o FULL JOIN n ON o.url = n.url)
       SELECT url, CASE WHEN merge_state IN ('new', 'updated') THEN nt ELSE ot END AS title, CASE merge_state WHEN 'new' THEN np WHEN 'updated' THEN NULL ELSE op END AS title_pt, CASE WHEN merge_state IN ('new', 'updated') THEN nh ELSE oh END AS content_hash, merge_state FROM j""",

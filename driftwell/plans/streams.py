@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from driftwell.functions import payloads
 from driftwell.schemas import FETCH
-from driftwell.sources import parsers
 from driftwell.sources.tables import table
 from driftwell.streaming import logs
 
@@ -42,20 +41,12 @@ def visible_hash(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "raw_pages", "raw_path", "body").withColumn("__t", text("body")).select("raw_path", F.substring(F.sha2("__t", 256), 1, 16).alias("text_hash"), F.char_length("__t").alias("text_len"))
 
 
-def parsed_pages(spark: SparkSession, d: str) -> DataFrame:
-    """source_id, url, title, published_at, parse_error of each HTML page, by the generic page parser."""
-    pages = table(spark, d, "raw_pages", "raw_path", "source_id", "url", "body").filter("raw_path like '%.html'")
-    src = table(spark, d, "sources", "id", "lang").withColumnRenamed("id", "source_id")
-    rows = pages.join(src, "source_id", "left").select("source_id", F.lit("http").alias("engine"), "url", "lang", F.lit(None).cast("string").alias("endpoint"), F.encode("body", "UTF-8").alias("body"))
-    return parsers.parse_payloads(rows, "2026-03-31").select("source_id", "url", "title", "lang", "parse_error")
-
-
 def json_field(spark: SparkSession, d: str) -> DataFrame:
-    """event_id, k of the events' JSON properties."""
+    """event_id, k of the events' JSON properties."""
     return table(spark, d, "events", "event_id", "props").select("event_id", F.get_json_object("props", "$.k").alias("k"))
 
 
-QUERIES = {"streaming_window_counts": window_counts, "visible_text_hash": visible_hash, "parsed_pages": parsed_pages, "json_field": json_field}
+QUERIES = {"streaming_window_counts": window_counts, "visible_text_hash": visible_hash, "json_field": json_field}
 ORACLES = {
     "streaming_window_counts": "SELECT source_id, strftime(make_timestamp(CAST(floor(epoch_us(CAST(fetched_at AS TIMESTAMPTZ)) / 604800000000) AS BIGINT) * 604800000000), '%Y-%m-%d') AS window_start, count(*) AS probes, CAST(sum(coalesce(changed, 0)) AS BIGINT) AS changes FROM fetches WHERE fetched_at IS NOT NULL GROUP BY 1, 2",
     "json_field": "SELECT event_id, json_extract_string(props, '$.k') AS k FROM events",

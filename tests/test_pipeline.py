@@ -32,7 +32,7 @@ def test_columns(spark):
     assert cut.endswith("…") and len(cut) <= 201 and one(spark, text.ellipsis200(L("curto"))) == "curto"
     assert one(spark, text.strip_tags(L("<p>a </p><br> b"))) == "a b" and one(spark, text.strip_tags(L("<p></p>"))) is None
     assert one(spark, text.host(L("https://WWW.Club.example:8080/x"))) == "club.example" and one(spark, text.ascii_lang(L("題"))) == "ja"
-    assert one(spark, payloads.batched(payloads.slug)(L("É isso"))) == "e-isso"
+    assert one(spark, payloads.slug(L("É isso"))) == "e-isso"
     for country, city, want in [("BR", " Curitiba ", "sul_br"), ("BR", "São Paulo", "brasil"), ("jp", None, "japao"), ("XX", None, "outro"), (None, None, None)]:
         assert one(spark, it.region_for(L(country), L(city))) == want
 
