@@ -37,6 +37,28 @@ def test_held_out_labels(spark, machines):
     assert sum(a == b for a, b in single) > 0.88 * len(single) > 130  # the rest are the planted wrong labels
 
 
+def test_the_family_decides():
+    """A word that Portuguese machines like most, in a family that loses: its machines have no say."""
+    m = G.Machines()
+    m.known["x"] = ((1.0, 1.2, -3.0), {"romance": (9.0, -9.0, 0.0), "germanic": (0.1, -0.1), "japonic": (0.0,)})
+    assert [x for x, _ in m.segments("x")] == ["en"]
+
+
+def test_chinese_letters(machines):
+    assert machines.segments("中文标题") == [] == machines.segments("北京合气道")
+    assert [x for x, _ in machines.segments("特別稽古")] == ["ja"] and [x for x, _ in machines.segments("中文标题 の思い出")] == ["ja"]
+    assert [x for x, _ in machines.segments("中文标题 Memories of a study trip")] == ["en"]
+
+
+def test_confidence_is_calibrated(spark, machines):
+    """Of single titles with right labels (other rows than those of the fit): as many are right as the confidence says."""
+    rows = spark.read.parquet("/root/testdata/check_s/items.parquet").select("title", "lang").distinct().limit(4000).collect()
+    seen = [(s[0][1], s[0][0] == G.label(r.lang)) for r in rows if r.title and G.label(r.lang) and len(s := machines.segments(r.title)) == 1]
+    sure = [ok for p, ok in seen if p >= 0.9]
+    assert len(sure) > 0.9 * len(seen) and sum(sure) > 0.85 * len(sure)  # a tenth of the labels is wrong
+    assert all(0 <= p <= 1 for p, _ in seen)
+
+
 def test_labels():
     assert [G.label(x) for x in ("pt_BR", "JA", "es-419", "fra", "und", "xx", " ", "", None, "it", "por")] == ["pt", "ja", "es", "fr", None, None, None, None, None, None, "pt"]
 
