@@ -38,6 +38,11 @@ def p2_canonical(spark: SparkSession, d: str) -> DataFrame:
     return lookalikes.canonical(_p2_rows(spark, d)).select("field", F.col("key").alias("item_id"), "canonical")
 
 
+def p2_classes(spark: SparkSession, d: str) -> DataFrame:
+    """field, canonical, forms, keys, links of every class of texts that look the same but are stored differently."""
+    return lookalikes.classes(_p2_rows(spark, d))
+
+
 def p4_segments(spark: SparkSession, d: str) -> DataFrame:
     """id, seg, lang, confidence, case of every segment of every title."""
     return languages.segments(table(spark, d, "items", "id", "title", "lang"))
@@ -103,5 +108,5 @@ def p1_limits(spark: SparkSession, d: str) -> DataFrame:
     return truncation.limits(truncation.judged(_p1_rows(spark, d)))
 
 
-QUERIES = {"p1_found": p1_found, "p1_sources": p1_sources, "p1_limits": p1_limits, "p9_found": p9_found, "p9_shares": p9_shares, "p5_found": p5_found, "p5_rendered": p5_rendered, "p3_found": p3_found, "p3_matches": p3_matches, "p3_unmatched": p3_unmatched, "p4_found": p4_found, "p4_segments": p4_segments, "p2_found": p2_found, "p2_canonical": p2_canonical, "p7_ids": p7_ids, "p8_containers": p8_containers, "p8_fill": p8_fill}
+QUERIES = {"p1_found": p1_found, "p1_sources": p1_sources, "p1_limits": p1_limits, "p9_found": p9_found, "p9_shares": p9_shares, "p5_found": p5_found, "p5_rendered": p5_rendered, "p3_found": p3_found, "p3_matches": p3_matches, "p3_unmatched": p3_unmatched, "p4_found": p4_found, "p4_segments": p4_segments, "p2_found": p2_found, "p2_canonical": p2_canonical, "p2_classes": p2_classes, "p7_ids": p7_ids, "p8_containers": p8_containers, "p8_fill": p8_fill}
 ORACLES: dict[str, str] = {}

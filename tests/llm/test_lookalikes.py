@@ -33,11 +33,33 @@ def test_edges(spark):
     assert [(r.key_a, r.key_b) for r in L.seen_equal(L.fields(twice, "id", ["title"])).collect()] == [(1, 2)]
 
 
+def test_canonical_is_a_stored_member(spark):
+    values = ["Москва — столица", "Αθήνα και Ολυμπία", "Ⅳ dan", "IV dan", "Сafe", "Cafe", "Ｃafe", "\u212bngstrom", "\u00c5ngstrom", "\u2260 1", "=\u0338 1", "x "]
+    df = spark.createDataFrame(list(enumerate(values)), "id long, title string")
+    rows = L.fields(df, "id", ["title"])
+    got = {r.key: r.canonical for r in L.canonical(rows).collect()}
+    assert got[0] == values[0] and got[1] == values[1] and got[11] == "x "
+    assert got[2] == got[3] == "IV dan" and got[4] == got[5] == got[6] == "Cafe" and got[7] == got[8] and got[9] == got[10]
+    assert {(r.canonical, r.forms, r["keys"], r.links) for r in L.classes(rows).collect()} >= {("IV dan", 2, 2, 1), ("Cafe", 3, 3, 3)}
+
+
+def test_hot_text(spark, monkeypatch):
+    """A text that most rows share, with one odd copy, without broadcasts: the same rows, and links counted without listing them."""
+    df = spark.range(600).selectExpr("id", "if(id = 7, 'ａ text', if(id % 3 = 0, concat('own ', id), 'a text')) as title")
+    rows = L.fields(df, "id", ["title"])
+    want = {(min(7, k), max(7, k)) for k in range(600) if k % 3 and k != 7}
+    assert {(r.key_a, r.key_b) for r in L.seen_equal(rows).collect()} == want
+    monkeypatch.setattr("driftwell.llm.joins.BROADCAST_BYTES", -1)
+    assert {(r.key_a, r.key_b) for r in L.seen_equal(rows).collect()} == want
+    assert [(r.canonical, r.forms, r["keys"], r.links) for r in L.classes(rows).collect()] == [("a text", 2, len(want) + 1, len(want))]
+    assert {r.canonical for r in L.canonical(rows).filter("key % 3 > 0").collect()} == {"a text"}
+
+
 def brute(texts):
     table = str.maketrans(L.FROM, L.TO)
 
     def key(s):
-        for a, b in L.LIGATURES.items():
+        for a, b in L.SEVERAL.items():
             s = s.replace(a, b)
         s = "".join(c for c in s.translate(table) if unicodedata.category(c) not in ("Cf", "Cc") or c.isspace())
         return unicodedata.normalize("NFC", " ".join(s.split()))
