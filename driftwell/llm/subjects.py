@@ -38,6 +38,7 @@ from pyspark.sql import functions as F
 from driftwell.llm.lookalikes import LOOK_ALIKE
 from driftwell.session import cut_lineage
 
+#: Bound of the fit: at most so many labelled examples, in the order of a hash, so the choice does not depend on the layout of the table.
 EXAMPLES_BOUND = 20_000
 ROUNDS = 4
 #: Least share of a document's text for a subject (SINGLE: if one sentence is all there is of it), and least posterior for a sentence to count.
@@ -71,9 +72,18 @@ def sentences(text: str | None) -> list[str]:
     return [s for part in _SENTENCE.split(_MARKUP.sub(" ", text)) if (s := part.strip())]
 
 
+def told(sentence: str) -> str:
+    """The sentence without its opening, numbers as one digit: sentences that are equal in this have equal tokens()."""
+    return _NUMBER.sub("0", _OPENING.sub("", sentence))
+
+
 def tokens(sentence: str) -> list[str]:
     """Lower-case words without numbers, names and an opening; pairs of letters of Japanese runs."""
-    body = _OPENING.sub("", sentence)
+    return tokens_of(told(sentence))
+
+
+def tokens_of(body: str) -> list[str]:
+    """tokens() of what told() left."""
     raw = _TOKEN.findall(body)
     latin = [w for w in raw if w[0] < "぀"]
     keep_big = sum(w[0].isupper() for w in latin) > 0.35 * len(latin)  # German, or capitals throughout
@@ -183,12 +193,11 @@ def kinds_of(text: str | None, memo: dict[str, tuple[int, str] | None]) -> list[
     """(kind, bag, length) of every sentence that has words."""
     out = []
     for s in sentences(text):
-        # numbers do not count as words: sentences that differ in them alone are read once
-        plain = _NUMBER.sub("0", s)
+        plain = told(s)  # sentences that differ in numbers and openings alone are read once
         if plain not in memo:
             if len(memo) > 2 * HELD:
                 memo.clear()
-            bag = tokens(s)
+            bag = tokens_of(plain)
             memo[plain] = (kind_of(bag), " ".join(bag)) if bag else None
         if found := memo[plain]:
             out.append((*found, len(s)))
@@ -320,11 +329,10 @@ def shares(model: Model, text: str | None, memo: dict | None = None) -> np.ndarr
         return np.zeros(0)
     total, out, times = 0, np.zeros(len(model.names)), np.zeros(len(model.names))
     for s in sentences(text):
-        # numbers do not count as words: sentences that differ in them alone are judged once
-        plain = _NUMBER.sub("0", s)
+        plain = told(s)  # sentences that differ in numbers and openings alone are judged once
         top = memo.get(plain) if memo is not None else None
         if top is None:
-            bag = tuple(tokens(s))
+            bag = tuple(tokens_of(plain))
             top = memo.get(bag) if memo is not None else None
             if top is None:
                 post = model.posterior(list(bag)) if bag else None
@@ -332,7 +340,7 @@ def shares(model: Model, text: str | None, memo: dict | None = None) -> np.ndarr
             if memo is not None:
                 if len(memo) > 200_000:
                     memo.clear()
-                memo[plain] = memo[bag] = top
+                memo[plain] = memo[bag] = top  # a text and a tuple are never equal
         if top == -2:  # no words
             continue
         total += len(s)
@@ -385,7 +393,7 @@ def _notes(batch: pa.RecordBatch, kinds: int, lengths: int) -> tuple[np.ndarray,
 
 def _learned(both: DataFrame, examples: DataFrame) -> tuple[Model, np.ndarray, np.ndarray]:
     """learn() from all documents. both: read_kinds()."""
-    rows = examples.select("subject", "text").filter("subject is not null and text is not null").limit(EXAMPLES_BOUND).collect()
+    rows = examples.select("subject", "text").filter("subject is not null and text is not null").orderBy(F.xxhash64("subject", "text"), "subject", "text").limit(EXAMPLES_BOUND).collect()
     docs = both.filter("kind is null").select("kinds", "lengths")
     kinds = both.filter("kind is not null").groupBy("kind").agg(F.min("bag").alias("bag"), F.sum("docs").alias("docs")).orderBy("kind")
     context_ = both.sparkSession.sparkContext

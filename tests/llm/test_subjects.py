@@ -71,3 +71,12 @@ def test_fit_in_tasks_equals_fit_in_memory(spark, data, examples):
     want = {(r.doc_id, n): round(v, 9) for r in rows for n, v in zip(model.names, S.shares(model, r.text).tolist(), strict=True) if v >= S.SHARE}
     got = S.document_subjects(df, spark.createDataFrame(examples, "subject string, text string")).collect()
     assert {(r.doc_id, r.subject): round(r.share, 9) for r in got} == want and len(got) == len(want) > 50
+
+
+def test_memo_changes_nothing():
+    """Sentences that the memo holds equal have equal words, whatever their numbers do to an opening's length."""
+    texts = ["Ref " + "1" * 70 + ": Law courts decide the appeal.", "Ref 1: Law courts decide the appeal.", "Ref 22: Law courts decide the appeal."]
+    memo = {}
+    got = [S.kinds_of(t, memo) for t in texts]
+    assert got == [S.kinds_of(t, {}) for t in texts] == [S.kinds_of(t, memo) for t in texts]
+    assert [b.split(" ") for (_, b, _), in got] == [S.tokens(t) for t in texts] and S.tokens(texts[0]) != S.tokens(texts[1])
