@@ -30,3 +30,23 @@ def spread_join(rows: DataFrame, small: DataFrame, on: list[str], how: str, salt
         return rows.join(F.broadcast(small), on, how)
     salted = small.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     return rows.withColumn("__salt", F.pmod(F.xxhash64(*salt_by), F.lit(SALTS)).cast("int")).join(salted, [*on, "__salt"], how).drop("__salt")
+
+
+#: Share of the rows from which on a key counts as hot: at most 1 / HOT_SHARE keys can.
+HOT_SHARE = 1e-3
+
+
+def look_up(rows: DataFrame, table: DataFrame, key: str, value: str) -> DataFrame:
+    """*rows* with *value* of their key in *table* (one row a key, of any size), null where there is none.
+
+    Keys that a share of the rows have are few by that share: they are looked up by broadcast. They and rows without a
+    key ('' or null) then take keys of their own in the join of the others, so they spread over its tasks.
+    """
+    counts = rows.filter(F.coalesce(F.col(key), F.lit("")) != "").groupBy(key).agg(F.count("*").alias("__n"))
+    total = rows.count()
+    hot = counts.filter(F.col("__n") >= max(2.0, HOT_SHARE * total)).select(key).join(table, key, "left").select(key, F.lit(True).alias("__hot"), F.col(value).alias("__value"))
+    found = rows.join(F.broadcast(hot), key, "left")
+    alone = F.coalesce("__hot", F.lit(False)) | (F.coalesce(F.col(key), F.lit("")) == "")
+    found = found.withColumn("__key", F.when(alone, F.concat(F.lit("\0"), F.monotonically_increasing_id().cast("string"))).otherwise(F.col(key)))
+    cold = table.select(F.col(key).alias("__key"), F.col(value).alias("__cold"))
+    return found.join(cold, "__key", "left").withColumn(value, F.coalesce("__value", "__cold")).drop("__key", "__hot", "__value", "__cold")

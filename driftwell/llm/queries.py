@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftwell.llm import gazetteer, languages, lookalikes, packing, pages, subjects, tokens, truncation
+from driftwell.session import cut_lineage
 from driftwell.sources.tables import table
 
 
@@ -99,13 +100,13 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_sources(spark: SparkSession, d: str) -> DataFrame:
-    """source, texts, cut, share: how often each source cuts its summaries."""
+    """source, texts, cut, by_limit, share: how often each source cuts its summaries."""
     return truncation.source_report(truncation.truncated(_p1_rows(spark, d)))
 
 
 def p1_limits(spark: SparkSession, d: str) -> DataFrame:
     """source, measure, length, texts, ... of every hidden storage limit."""
-    return truncation.limits(truncation.judged(_p1_rows(spark, d)))
+    return truncation.limits(cut_lineage(truncation.judged(_p1_rows(spark, d))))
 
 
 QUERIES = {"p1_found": p1_found, "p1_sources": p1_sources, "p1_limits": p1_limits, "p9_found": p9_found, "p9_shares": p9_shares, "p5_found": p5_found, "p5_rendered": p5_rendered, "p3_found": p3_found, "p3_matches": p3_matches, "p3_unmatched": p3_unmatched, "p4_found": p4_found, "p4_segments": p4_segments, "p2_found": p2_found, "p2_canonical": p2_canonical, "p2_classes": p2_classes, "p7_ids": p7_ids, "p8_containers": p8_containers, "p8_fill": p8_fill}

@@ -32,13 +32,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from driftwell.llm.joins import look_up
 from driftwell.llm.lookalikes import LOOK_ALIKE
 from driftwell.session import cut_lineage
 
 #: Texts in which an ending must have been seen, and items in which a label or address must stand: so many, and such a share of all.
 SEEN, LABEL_SEEN, LABEL_SHARE = 2, 3, 1e-4
-#: Texts that a limit needs, and times that it must exceed the mean of the 30 lengths around it.
+#: Letters that a label has at most: a longer text that stops without a stop is no label.
+LABEL_LENGTH = 40
+#: Texts that a limit needs to be told from chance, and times that it must exceed the mean of the 30 lengths around it.
 LIMIT_TEXTS, LIMIT_TIMES = 6, 4
+#: Texts that a limit in a second encoding needs besides those at the first.
+SECOND_TEXTS = 12
 
 _FOLD = str.maketrans({a: b for x, y in LOOK_ALIKE.values() for a, b in zip(x, y, strict=True)})
 _CJK = "぀-ヿ㐀-鿿豈-﫿々〆ー"
@@ -153,7 +158,7 @@ def ends_of(raw: str) -> tuple[tuple[str, str, str, str], set[str]]:
     stop = _STOP.search(final[-40:])
     end = (final[: len(final) - len(final[-40:]) + stop.start()] if stop else final).rstrip()
     key, last, _ = _tail_keys(end[-TAIL:], len(end) <= TAIL)
-    if not stop and len(body) <= 40 and not at:
+    if not stop and len(body) <= LABEL_LENGTH and not at:
         return ("label", key, "label:" + body.lower(), last), seen
     return ("stop" if stop else "open", key, "", last), seen
 
@@ -210,8 +215,8 @@ MEASURES = {
     "utf16": _utf16,
     "html": lambda t: F.char_length(t) + 4 * _count(t, "&") + 3 * _count(t, "<>") + 5 * _count(t, '"') + 5 * _count(t, "'"),
     "html_utf8": lambda t: F.octet_length(t) + 4 * _count(t, "&") + 3 * _count(t, "<>") + 5 * _count(t, '"') + 5 * _count(t, "'"),
-    "json": lambda t: F.char_length(t) + _count(t, '"\\\n\r\t') + 5 * (F.char_length(t) - F.char_length(F.regexp_replace(t, "[^\\x00-\\x7f]", ""))),
-    "crlf": lambda t: F.char_length(t) + _count(t, "\n"),
+    "json": lambda t: F.char_length(t) + _count(t, '"\\\n\r\t') + 5 * (F.char_length(t) - F.char_length(F.regexp_replace(t, "[^\\x00-\\x7f]", ""))) + 6 * (_utf16(t) - F.char_length(t)),
+    "crlf": lambda t: F.char_length(t) + _count(t, "\n") - (F.char_length(t) - F.char_length(F.replace(t, F.lit("\r\n"), F.lit("")))) / 2,
 }
 
 
@@ -225,7 +230,8 @@ def judged(rows: DataFrame) -> DataFrame:
     by_label = texts.filter("label_key <> ''").groupBy("label_key").agg(F.count_distinct(item).alias("label_seen"))
     often = max(LABEL_SEEN, LABEL_SHARE * texts.agg(F.count_distinct(item)).first()[0])
     e = texts.distinct()
-    e = e.join(table, "end_key", "left").join(by_last, "last", "left").join(by_label, "label_key", "left")
+    for known, key, value in ((table, "end_key", "end_seen"), (by_last, "last", "last_seen"), (by_label, "label_key", "label_seen")):
+        e = look_up(e, known, key, value)
     end, last, label = (F.coalesce(c, F.lit(0)) for c in ("end_seen", "last_seen", "label_seen"))
     # after a full stop a last word seen once is enough: half a name never ends a sentence
     known = (end >= SEEN) & (F.col("last").isin("#", "ja") | (last >= F.when(F.col("kind") == "stop", 1).otherwise(SEEN)))
@@ -239,33 +245,65 @@ def judged(rows: DataFrame) -> DataFrame:
     return e.withColumn("inside", inside).drop("end_seen", "last_seen", "label_seen", "end_key", "label_key", "last")
 
 
-def limits(ends: DataFrame) -> DataFrame:
-    """source, measure, length, texts, expected, whole, whole_expected of every hidden limit. ends: judged()."""
-    lengths = F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), F.col(f"n_{m}").alias("length")) for m in MEASURES])).alias("x")
-    each = ends.select("source", "inside", lengths).select("source", "inside", "x.measure", "x.length").filter("length > 40")
-    histogram = each.groupBy("source", "measure", "length").agg(F.count("*").alias("texts"), F.sum(F.col("inside").cast("int")).alias("inside"))
+def _lengths(ends: DataFrame, *columns: str) -> DataFrame:
+    """columns, measure, length: a row for each encoding."""
+    each = F.inline(F.array(*[F.struct(F.lit(m).alias("measure"), F.col(f"n_{m}").alias("length")) for m in MEASURES]))
+    return ends.select(*columns, each)
+
+
+def _spikes(histogram: DataFrame) -> DataFrame:
+    """Lengths that far more texts have than their neighbours, most of them inside a sentence."""
     near = Window.partitionBy("source", "measure").orderBy("length").rangeBetween(-15, 15)
     h = histogram.withColumns({
         "expected": (F.sum("texts").over(near) - F.col("texts")) / 30,
         "whole": F.col("texts") - F.col("inside"),
         "whole_expected": (F.sum(F.col("texts") - F.col("inside")).over(near) - (F.col("texts") - F.col("inside"))) / 30,
     })
-    spikes = h.filter((F.col("texts") >= LIMIT_TEXTS) & (F.col("texts") > LIMIT_TIMES * F.col("expected") + 2) & (F.col("inside") * 2 > F.col("texts")))
-    # one limit shows in several encodings at once, blurred in all but its own: the sharpest is the source's
+    return h.filter((F.col("texts") >= LIMIT_TEXTS) & (F.col("texts") > LIMIT_TIMES * F.col("expected") + 2) & (F.col("inside") * 2 > F.col("texts")))
+
+
+def _sharpest(spikes: DataFrame, by: str) -> DataFrame:
+    """Of each source the spikes in the encoding of its greatest one."""
     order = F.create_map(*[F.lit(x) for i, m in enumerate(MEASURES) for x in (m, i)])[F.col("measure")]
-    best = Window.partitionBy("source").orderBy(F.desc("texts"), order)
+    best = Window.partitionBy("source").orderBy(F.desc(by), order)
     return spikes.withColumn("own", F.first("measure").over(best)).filter("measure = own").drop("own")
 
 
+def limits(ends: DataFrame) -> DataFrame:
+    """source, measure, length, texts, inside, expected, whole, whole_expected of every hidden limit. ends: judged(), written down.
+
+    One limit shows in several encodings at once, blurred in all but its own: a source's sharpest encoding comes first. A
+    spike in another one is a limit too if SECOND_TEXTS texts at it, and half of all there, stand at no limit found before.
+    Each round settles one encoding of a source, so rounds are at most encodings. Spikes are few: lengths of sources.
+    """
+    histogram = _lengths(ends, "source", "inside").groupBy("source", "measure", "length").agg(F.count("*").alias("texts"), F.sum(F.col("inside").cast("int")).alias("inside"))
+    spikes = cut_lineage(_spikes(histogram))
+    found = _sharpest(spikes, "texts")
+    for _ in MEASURES:
+        others = spikes.join(found.select("source", "measure").distinct(), ["source", "measure"], "left_anti")
+        at = found.groupBy("source").agg(F.collect_set(F.struct("measure", "length")).alias("__at"))
+        here = F.array(*[F.struct(F.lit(m).alias("measure"), F.col(f"n_{m}").alias("length")) for m in MEASURES])
+        free = ends.join(F.broadcast(at), "source").filter(~F.arrays_overlap("__at", here))
+        free = _lengths(free, "source").join(F.broadcast(others.select("source", "measure", "length")), ["source", "measure", "length"]).groupBy("source", "measure", "length").agg(F.count("*").alias("free"))
+        new = cut_lineage(_sharpest(others.join(free, ["source", "measure", "length"]).filter((F.col("free") >= SECOND_TEXTS) & (F.col("free") * 2 >= F.col("texts"))), "free").select(*spikes.columns))
+        if new.isEmpty():
+            break
+        found = found.unionByName(new)
+    return found
+
+
 def truncated(rows: DataFrame) -> DataFrame:
-    """key, source, cut of every non-blank text; equal rows once. rows: rows_of()."""
+    """key, source, cut, by_limit of every non-blank text; equal rows once. rows: rows_of().
+
+    by_limit: the text ends with a whole sentence, and a limit alone tells that it was cut.
+    """
     ends = cut_lineage(judged(rows))
     found = limits(ends).select("source", "measure", "length", (F.col("whole") > 2 * F.col("whole_expected") + 1).alias("crowded"))
-    at = ends.filter("not inside").select("key", "source", "kind", F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), F.col(f"n_{m}").alias("length")) for m in MEASURES])).alias("x"))
+    at = _lengths(ends.filter("not inside"), "key", "source", "kind").join(F.broadcast(found), ["source", "measure", "length"]).filter("crowded or kind = 'open'")
     # without a full stop at a limit: cut; with one: if more such texts stand there than around it
-    at = at.select("key", "source", "kind", "x.measure", "x.length").join(found, ["source", "measure", "length"]).filter("crowded or kind = 'open'")
     at = at.select("key", "source").distinct().withColumn("at_limit", F.lit(True))
-    return ends.join(at, ["key", "source"], "left").select("key", "source", (F.col("inside") | F.coalesce("at_limit", F.lit(False))).alias("cut")).distinct()
+    limit = F.coalesce("at_limit", F.lit(False))
+    return ends.join(at, ["key", "source"], "left").select("key", "source", (F.col("inside") | limit).alias("cut"), (~F.col("inside") & limit).alias("by_limit")).distinct()
 
 
 def rows_of(items: DataFrame, key: str, source: str, text: str) -> DataFrame:
@@ -274,5 +312,5 @@ def rows_of(items: DataFrame, key: str, source: str, text: str) -> DataFrame:
 
 
 def source_report(cut: DataFrame) -> DataFrame:
-    """source, texts, cut, share of every source. cut: truncated()."""
-    return cut.groupBy("source").agg(F.count("*").alias("texts"), F.sum(F.col("cut").cast("int")).alias("cut")).withColumn("share", F.col("cut") / F.col("texts"))
+    """source, texts, cut, by_limit, share of every source. cut: truncated()."""
+    return cut.groupBy("source").agg(F.count("*").alias("texts"), F.sum(F.col("cut").cast("int")).alias("cut"), F.sum(F.col("by_limit").cast("int")).alias("by_limit")).withColumn("share", F.col("cut") / F.col("texts"))

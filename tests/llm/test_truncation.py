@@ -61,10 +61,38 @@ def test_lengths(spark):
     got = df.select(*[m(df.t).alias(n) for n, m in T.MEASURES.items()]).first().asDict()
     import html
 
-    assert got == {"characters": len(text), "utf8": len(text.encode()), "utf16": len(text.encode("utf-16-be")) // 2, "html": len(html.escape(text)), "html_utf8": len(html.escape(text).encode()), "json": got["json"], "crlf": len(text) + 1}
+    assert got == {"characters": len(text), "utf8": len(text.encode()), "utf16": len(text.encode("utf-16-be")) // 2, "html": len(html.escape(text)), "html_utf8": len(html.escape(text).encode()), "json": len(json.dumps(text)) - 2, "crlf": len(text) + 1}
     bmp = text.replace("𠮷", "")
     df = spark.createDataFrame([(bmp,)], "t string")
     assert df.select(T.MEASURES["json"](df.t)).first()[0] == len(json.dumps(bmp)) - 2
+    lines = spark.createDataFrame([("a\r\nb\nc\rd",)], "t string")
+    assert lines.select(T.MEASURES["crlf"](lines.t)).first()[0] == len("a\r\nb\r\nc\rd")
+
+
+def test_short_limits_and_limits_in_two_encodings(spark):
+    """VARCHAR(32) is a limit as well; a source with limits of 120 bytes and of 90 UTF-16 units has both."""
+    rng, rows = random.Random(3), []
+    for i in range(900):
+        text = " ".join(f"{rng.randint(1, 10 ** rng.randint(1, 9))} {rng.choice(SENTENCES)}." for _ in range(rng.randint(1, 6)))
+        accents = "".join(rng.choice("éáõ日") for _ in range(rng.randint(2, 30)))
+        if i % 3 == 0:
+            rows.append((i, "short", text[:32]))
+        elif i % 3 == 1:
+            rows.append((i, "two", f"{accents} {text}".encode()[:120].decode(errors="ignore") if i % 2 else f"{accents} {text}"[:90]))
+        else:
+            rows.append((i, "whole", text))
+    found = {(r.source, r.measure, r.length) for r in T.limits(T.judged(spark.createDataFrame(rows, "key long, source string, text string"))).collect()}
+    assert {(s, n) for s, _, n in found} >= {("short", 32), ("two", 90), ("two", 120)} and "whole" not in {s for s, _, _ in found}
+
+
+def test_hot_keys_are_looked_up(spark):
+    from driftwell.llm.joins import look_up
+
+    rows = spark.range(3000).selectExpr("id", "case when id % 3 = 0 then 'hot' when id % 3 = 1 then '' else concat('k', id) end as k")
+    table = spark.createDataFrame([("hot", 5), ("k2", 7), ("k5", 8), ("other", 9)], "k string, v int")
+    got = {r.id: r.v for r in look_up(rows, table, "k", "v").collect()}
+    assert got == {i: 5 if i % 3 == 0 else {2: 7, 5: 8}.get(i) for i in range(3000)}
+    assert look_up(rows.limit(0), table, "k", "v").collect() == []
 
 
 def test_edges(spark):
