@@ -11,16 +11,18 @@ The reference lists are fixed (hundreds of rows; checked against LIST_BOUND befo
 the tasks); events are matched where they are read, each distinct value once a task.
 
 Defined results: null and blank cities are no case; a value that means no entry has place_id 0;
-country_code is the typed country's code, else the place's country, else the empty string; equal
-rows count once.
+country_code is the typed country's code, else the place's country, else the empty string; a typed country that means
+none is reported as such even if the place is known; equal rows count once.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
+import uuid
 from collections import defaultdict
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -193,8 +195,8 @@ class Places:
                     return of[0]
         return ids[0]
 
-    def match(self, city: str, country: str | None, zone: str | None = None) -> tuple[int, str]:
-        """(place_id or 0, country code or '')."""
+    def match(self, city: str, country: str | None, zone: str | None = None) -> tuple[int, str, bool]:
+        """(place_id or 0, country code or '', whether a country was typed that means none)."""
         code, value = self.countries.code(country), fold(city)
         place = 0
         if value:
@@ -211,11 +213,35 @@ class Places:
                     key = close[0][1]
             if key:
                 place = self.choose(key, value, code, zone)
-        return place, code or (self.rows[place]["country"] if place else "")
+        return place, code or (self.rows[place]["country"] if place else ""), not code and bool(country and fold(country))
+
+
+@dataclass(frozen=True)
+class _Lists:
+    sent: object  # a broadcast
+    id: str  # the same in every task of a query
+
+    @property
+    def value(self) -> tuple:
+        return self.sent.value
+
+
+_MATCHERS: dict[str, Places] = {}
+
+
+def _matcher(lists) -> Places:
+    """One matcher a Python worker, however many tasks it runs."""
+    if lists.id not in _MATCHERS:
+        _MATCHERS.clear()
+        _MATCHERS[lists.id] = Places(*lists.value)
+    return _MATCHERS[lists.id]
 
 
 def match_events(events: DataFrame, places: DataFrame, countries: DataFrame, key: str = "item_id") -> DataFrame:
-    """key, city, country, place_id, country_code, matched of every event whose city is neither null nor blank."""
+    """key, city, country, place_id, country_code, matched, country_matched of every event whose city is neither null nor blank.
+
+    matched: the city means an entry. country_matched: the typed country means one, or none was typed.
+    """
     names = places.select("place_id", "city", "local_name", "country", "state", "tz", "other_names").limit(LIST_BOUND + 1).collect()
     codes = countries.select("code", "iso3", "name_en", "name_local", "name_pt").limit(LIST_BOUND + 1).collect()
     if max(len(names), len(codes)) > LIST_BOUND:
@@ -226,10 +252,11 @@ def match_events(events: DataFrame, places: DataFrame, countries: DataFrame, key
         if p["tz"]:
             zones.setdefault(fold(p["tz"]), p["country"])
             zones.setdefault(fold(p["tz"].rpartition("/")[2]), p["country"])
-    lists = events.sparkSession.sparkContext.broadcast((names, codes, zones))
+    sent = events.sparkSession.sparkContext.broadcast((names, codes, zones))
+    lists = _Lists(sent, uuid.uuid4().hex)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher, memo = Places(*lists.value), {}
+        matcher, memo = _matcher(lists), {}
         for batch in batches:
             ids, cities, typed, zone = (batch.column(i).to_pylist() for i in range(4))
             rows = []
@@ -239,8 +266,8 @@ def match_events(events: DataFrame, places: DataFrame, countries: DataFrame, key
                         memo.clear()
                     memo[x] = matcher.match(*x)
                 rows.append(memo[x])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array([p for p, _ in rows], pa.int32()), pa.array([c for _, c in rows], pa.string()), pa.array([p > 0 for p, _ in rows], pa.bool_())], names=[key, "city", "country", "place_id", "country_code", "matched"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[0] > 0 for r in rows], pa.bool_()), pa.array([not r[2] for r in rows], pa.bool_())], names=[key, "city", "country", "place_id", "country_code", "matched", "country_matched"])
 
     kind = dict(events.dtypes)[key]
     some = events.filter(F.col("city").rlike("(?U)[^\\s\\u200b-\\u200f\\u2060\\ufeff]")).select(key, "city", "country", "tz").distinct()
-    return some.mapInArrow(run, f"`{key}` {kind}, city string, country string, place_id int, country_code string, matched boolean")
+    return some.mapInArrow(run, f"`{key}` {kind}, city string, country string, place_id int, country_code string, matched boolean, country_matched boolean")

@@ -30,6 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from driftwell.llm.joins import spread_join
 from driftwell.session import cut_lineage
 
 CAPACITY = 2048
@@ -79,15 +80,22 @@ def best_pattern(sizes: list[int], value: np.ndarray, capacity: int) -> tuple[fl
     return float(best[pad + capacity]), pattern
 
 
-def configurations(sizes: list[int], demand: list[int], capacity: int, rounds: int = 400) -> list[tuple[list[int], int]]:
-    """(pattern, times): the linear program's optimum, rounded down. Patterns never overdraw the demand."""
+def configurations(sizes: list[int], demand: list[int], capacity: int) -> list[tuple[list[int], int]]:
+    """(pattern, times): the linear program's optimum, rounded down. Patterns never overdraw the demand.
+
+    Columns are generated until none saves anything; only a row of 4 rounds a size without any gain (a degenerate
+    cycle) ends it before.
+    """
     m = len(sizes)
     if not m:
         return []
     basis = np.diag([float(capacity // s) for s in sizes])
     b = np.array(demand, dtype=float)
     x = b / np.diag(basis)
-    for _ in range(rounds):
+    least, idle = np.inf, 0
+    while idle < 4 * m:
+        idle = 0 if x.sum() < least - 1e-9 else idle + 1
+        least = min(least, float(x.sum()))
         inverse = np.linalg.inv(basis)
         prices = np.ones(m) @ inverse
         value, pattern = best_pattern(sizes, np.maximum(prices, 0), capacity)
@@ -207,8 +215,9 @@ def pack(counts: DataFrame, key: str = "doc_id", size: str = "n_tokens", capacit
     zero and negative sizes go nowhere. Equal keys are separate documents.
     """
     spark = counts.sparkSession
+    buckets = max(BUCKETS, counts.rdd.getNumPartitions())  # a slice holds what one task read, however large the table
     rows = counts.select(F.col(key).alias("key"), F.col(size).cast("bigint").alias("n")).filter("n > 0")
-    rows = rows.select("key", ((F.col("n") - 1) % capacity + 1).alias("rest"), F.floor((F.col("n") - 1) / capacity).cast("bigint").alias("full"), (F.spark_partition_id() % BUCKETS).alias("bucket"), F.monotonically_increasing_id().alias("row"))
+    rows = rows.select("key", ((F.col("n") - 1) % capacity + 1).alias("rest"), F.floor((F.col("n") - 1) / capacity).cast("bigint").alias("full"), (F.spark_partition_id() % buckets).alias("bucket"), F.monotonically_increasing_id().alias("row"))
     inside = Window.partitionBy("bucket", "rest").orderBy("row")
     ranked = rows.select("key", "rest", "full", "bucket", (F.row_number().over(inside) - 1).cast("bigint").alias("rank"), (F.sum("full").over(inside) - F.col("full")).alias("full_rank"))
     # sizes are expensive to count and ranks must stay the same in both passes: written once
@@ -228,8 +237,8 @@ def pack(counts: DataFrame, key: str = "doc_id", size: str = "n_tokens", capacit
     table = spark.createDataFrame([tuple(map(int, r)) for r in lines.itertuples(index=False)], "size bigint, start bigint, stop bigint, per bigint, container bigint, at bigint")
     # a size has a few hundred ranges at most: they travel as one array a size
     by_size = table.groupBy(F.col("size").alias("rest")).agg(F.collect_list(F.struct("start", "stop", "per", "container", "at")).alias("lines"))
-    # both tables are bounded by buckets x capacity rows and capacity rows, not by the documents
-    placed = ranked.join(F.broadcast(offsets), ["bucket", "rest"]).join(F.broadcast(by_size), "rest")
+    # the ranges are bounded by the capacity, the offsets by slices x capacity: broadcast as long as they are small
+    placed = spread_join(ranked, offsets, ["bucket", "rest"], "inner", ["key", "rank"]).join(F.broadcast(by_size), "rest")
     placed = placed.withColumn("nth", F.col("rank") + F.col("offset"))
     placed = placed.withColumn("line", F.expr("filter(lines, l -> nth >= l.start and nth < l.stop)[0]"))
     last = placed.select(

@@ -65,8 +65,9 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_unmatched(spark: SparkSession, d: str) -> DataFrame:
-    """city, country, events: typed values that mean no entry, and how many events have them."""
-    return p3_matches(spark, d).filter("not matched").groupBy("city", "country").agg(F.count("*").alias("events"))
+    """field, city, country, events: typed cities and typed countries that mean no entry, and how many events have them."""
+    each = F.explode(F.filter(F.array(F.when(~F.col("matched"), "city"), F.when(~F.col("country_matched"), "country")), lambda x: x.isNotNull())).alias("field")
+    return p3_matches(spark, d).select(each, "city", "country").groupBy("field", "city", "country").agg(F.count("*").alias("events"))
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:

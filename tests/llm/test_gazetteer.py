@@ -51,6 +51,12 @@ def test_values(spark, lists):
     assert got == {i: want for i, (_, want) in enumerate(CASES)}
 
 
+def test_unmatched_countries_are_reported_beside_known_cities(spark, lists):
+    df = spark.createDataFrame([(1, "Jostelles", "Atlantis", None), (2, "Jostelles", None, None), (3, "Jostelles", " ? ", None), (4, "Jostelles", "France", None), (5, "Livitoso", "Mu", None)], "item_id long, city string, country string, tz string")
+    got = {r.item_id: (r.place_id, r.country_code, r.matched, r.country_matched) for r in G.match_events(df, *lists).collect()}
+    assert got == {1: (3, "FR", True, False), 2: (3, "FR", True, True), 3: (3, "FR", True, True), 4: (3, "FR", True, True), 5: (0, "", False, False)}
+
+
 def test_edges(spark, lists):
     rows = [(1, None, "BR", None), (2, " 　", "BR", None), (3, "Fujida", None, None), (3, "Fujida", None, None), (4, "Fujida " + "z" * 100_000, None, None), (None, "Fujida", None, None)]
     df = spark.createDataFrame(rows, "item_id long, city string, country string, tz string")
