@@ -22,8 +22,8 @@ themselves not the article's. A list of other pages inside it does not end it.
 
 Pages are parsed once; what was parsed is kept, and read again when the counts are known. Counts are
 per site and text hash, made distinct before they are added up; a site's profile holds only texts above
-a share of its pages, so its size is bounded by the blocks of a page, not by the pages. Profiles are joined by
-site and a salt, so a site with a third of all pages is spread over SALT keys.
+a share of its pages, so its size is bounded by the blocks of a page, not by the pages. Profiles are broadcast
+while they are small (counted), else joined by site and a salt, so a site with a third of all pages is spread over SALT keys.
 
 Defined results: a null or blank body has no article; a page without heading or byline has one, and so has a page that
 is alone on its site (nothing is known to be repeated there); equal blocks of a page count once in ``p5_found``;
@@ -49,8 +49,8 @@ from driftwell.session import cut_lineage
 REPEATED, REPEATED_PAGES = 0.2, 3
 #: Share of a site's pages on which a title (without names) must be seen, as title, heading or link.
 TITLE_SHARE = 0.01
-#: Keys over which the pages of one site are spread.
-SALT = 32
+#: Profiles of at most so many hashes of 8 bytes are broadcast; larger ones are joined by site and salt, over SALT keys a site.
+BROADCAST_HASHES, SALT = 1_000_000, 32
 
 # Block-level tags, tags whose content is not shown, tags without content, side elements, tags that a start tag ends.
 BLOCKS = frozenset(
@@ -432,8 +432,12 @@ def profiles(found: DataFrame) -> DataFrame:
 def _picked(pages: DataFrame, key: str, site: str | None, whole: bool) -> DataFrame:
     """Parsed pages with the hashes that their site's profile knows: hits (repeated texts) and aims (titles)."""
     found = cut_lineage(parsed(pages, key, site, whole))  # read for the counts and for the choice; pages are parsed once
-    salted = profiles(found).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
-    rows = found.withColumn("salt", F.pmod(F.xxhash64(key, "page"), F.lit(SALT)).cast("int")).join(salted, ["site", "salt"], "left")
+    known = cut_lineage(profiles(found))
+    if (known.agg(F.sum(F.size("repeated") + F.size("known"))).first()[0] or 0) <= BROADCAST_HASHES:
+        rows = found.join(F.broadcast(known), "site", "left")
+    else:
+        salted = known.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+        rows = found.withColumn("salt", F.pmod(F.xxhash64(key, "page"), F.lit(SALT)).cast("int")).join(salted, ["site", "salt"], "left")
     none = F.array().cast("array<bigint>")
     return rows.withColumns({"hits": F.array_intersect("masks", F.coalesce("repeated", none)), "aims": F.array_intersect(F.concat("pointers", "own"), F.coalesce("known", none))})
 

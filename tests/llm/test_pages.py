@@ -1,5 +1,6 @@
 import hashlib
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -85,8 +86,10 @@ def test_edges(spark):
     assert P.article_blocks(df.limit(0), site=None).collect() == [] and len(P.rendered(df, site=None).collect()) == len(rows)
 
 
-def test_hot_site_and_recaptures(spark):
-    """One site holds most pages, captured again and again: its article is no notice, and what surrounds it is."""
+@pytest.mark.parametrize("bound", [P.BROADCAST_HASHES, 0])
+def test_hot_site_and_recaptures(spark, monkeypatch, bound):
+    """Both ways to join the profiles. One site holds most pages, captured again and again: its article is no notice, and what surrounds it is."""
+    monkeypatch.setattr(P, "BROADCAST_HASHES", bound)
     rows = [(f"s{k}-{n}.html", "hot", x) for k, x in enumerate(SITE) for n in range(30 if k == 0 else 1)] + [("o.html", None, "<h1>Alone</h1><p>Nothing is known of this site.</p>")]
     got = {}
     for r in P.article_blocks(spark.createDataFrame(rows, "raw_path string, source_id string, body string")).orderBy("raw_path", "n").collect():
