@@ -82,7 +82,7 @@ def host(url: Column) -> Column:
 
 def payload_kind(body: Column) -> Column:
     """json, xml or html by the first characters after white space."""
-    head = F.regexp_replace(F.substring(body, 1, 400), r"(?U)\A\s+", "")
+    head = F.substring(F.regexp_replace(body, r"(?U)\A\s+", ""), 1, 16)
     return F.when(head.rlike(r"\A[\[{]"), "json").when(F.substring(head, 1, 5).isin("<?xml", "<rss ", "<feed"), "xml").otherwise("html")
 
 

@@ -1,10 +1,9 @@
 """Operators over append-only fetch and probe logs.
 
-Rows are ordered by (time, id); a log row is unique by its id, so equal copies are made one first.
-All windows of one operator partition by the source (and endpoint), so they share one shuffle. A
-source holds what it logged, not a share of the table that grows without bound: the catalogue grows with
-the data. Where only a few newest rows matter (streaks, last change) aggregates replace windows, and
-partial aggregates run before the shuffle.
+Rows are ordered by (time, id); a log row is unique by its id, so equal copies are made one first. The catalogue is
+fixed and the log grows, so one source can hold a third of all rows: no window spans a whole source. Streaks
+and last changes are partial aggregates; the previous hash is found within a day, and days are chained by one row each;
+the newest n rows of a key are cut to n in every task before the shuffle (Spark's window group limit).
 """
 
 from __future__ import annotations
@@ -30,10 +29,20 @@ def change_detection(log: DataFrame, keys: list[str], order: list[str], hash_col
     get a null change. With status_col None every row with a hash counts (probes hash any answer).
     """
     counts = F.col(hash_col).isNotNull() & ((F.col(status_col) == 200) if status_col else F.lit(True))
-    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    df = log.withColumn("__h", F.when(counts, F.col(hash_col))).withColumn("previous_hash", F.last("__h", ignorenulls=True).over(w))
+    day = F.coalesce(F.substring(F.col(order[0]).cast("string"), 1, 10), F.lit(""))  # order by the text is order by its first letters first
+    df = log.withColumns({"__h": F.when(counts, F.col(hash_col)), "__day": day})
+    safe = {f"__k{i}": F.coalesce(F.col(k).cast("string"), F.lit("\0")) for i, k in enumerate(keys)}  # null keys are one key
+    df = df.withColumns(safe)
+    by = [*safe, "__day"]
+    inside = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    df = df.withColumn("__before", F.last("__h", ignorenulls=True).over(inside))
+    # a row a key and day: the last hash of the days before
+    days = log.withColumns({"__h": F.when(counts, F.col(hash_col)), "__day": day}).withColumns(safe).groupBy(*by).agg(F.max_by("__h", F.when(F.col("__h").isNotNull(), F.struct(*order))).alias("__last"))
+    chain = Window.partitionBy(*safe).orderBy("__day").rowsBetween(Window.unboundedPreceding, -1)
+    days = days.withColumn("__carried", F.last("__last", ignorenulls=True).over(chain)).drop("__last")
+    df = df.join(days, by).withColumn("previous_hash", F.coalesce("__before", "__carried"))
     changed = F.when(F.col("__h").isNotNull() & F.col("previous_hash").isNotNull(), (F.col("__h") != F.col("previous_hash")).cast("int"))
-    return df.withColumn("changed_now", changed).drop("__h")
+    return df.withColumn("changed_now", changed).select(*log.columns, "previous_hash", "changed_now")
 
 
 def outcome(log: DataFrame) -> DataFrame:
@@ -56,19 +65,18 @@ def outcome(log: DataFrame) -> DataFrame:
 def fail_streaks(log: DataFrame, sources: DataFrame, look_back: int | None = LOOK_BACK) -> DataFrame:
     """source_id, streak, last_error of active sources (W2-W4, J6): the failures in a row, newest first.
 
-    look_back None counts without bound. A source never fetched has 0.
+    look_back None counts without bound. A source never fetched has 0. The streak is the number of rows after the
+    newest one that did not fail, looked at to look_back rows: two aggregates, no window.
     """
-    newest = Window.partitionBy("source_id").orderBy(F.desc("fetched_at"), F.desc("id"))
-    bad = text.failed(F.col("error"), F.col("http_status"))
-    ranked = log.select("source_id", "id", "fetched_at", "http_status", "error", bad.alias("bad")).withColumn("rn", F.row_number().over(newest))
-    if look_back:
-        ranked = ranked.filter(F.col("rn") <= look_back)
-    per = ranked.groupBy("source_id").agg(
-        F.coalesce(F.min(F.when(~F.col("bad"), F.col("rn"))) - 1, F.count("*")).cast("bigint").alias("streak"),
-        F.max(F.when((F.col("rn") == 1) & F.col("bad"), F.coalesce(F.nullif("error", F.lit("")), F.concat(F.lit("http_"), F.col("http_status"))))).alias("last_error"),
-    )
+    at = F.struct("fetched_at", "id")
+    rows = log.select("source_id", at.alias("at"), text.failed(F.col("error"), F.col("http_status")).alias("bad"), F.coalesce(F.nullif("error", F.lit("")), F.concat(F.lit("http_"), F.col("http_status"))).alias("what"))
+    newest = rows.groupBy("source_id").agg(F.max(F.when(~F.col("bad"), F.col("at"))).alias("good"), F.max_by(F.struct(F.col("bad").alias("bad"), F.col("what").alias("what")), "at").alias("last"))
+    after = rows.filter("bad").join(newest.select("source_id", "good"), "source_id").filter(F.col("good").isNull() | (F.col("at") > F.col("good")))
+    per = after.groupBy("source_id").agg(F.count("*").alias("streak"))
+    streak = F.coalesce("streak", F.lit(0)).cast("bigint")
     active = sources.filter("active = 1").select(F.col("id").alias("source_id"))
-    return active.join(per, "source_id", "left").select("source_id", F.coalesce("streak", F.lit(0)).cast("bigint").alias("streak"), "last_error")
+    out = active.join(newest, "source_id", "left").join(per, "source_id", "left")
+    return out.select("source_id", (F.least(streak, F.lit(look_back).cast("bigint")) if look_back else streak).alias("streak"), F.when(F.col("last.bad"), F.col("last.what")).alias("last_error"))
 
 
 def alert_lines(streaks: DataFrame, at: int = ALERT_AT, unknown: str = "desconhecido") -> DataFrame:
@@ -104,6 +112,7 @@ def cadence(log: DataFrame, key: str, at: str, changed: str, error: str) -> Data
     )
     per = per.withColumn("days_obs", dates.span_days(F.col("first").cast("string"), F.col("last").cast("string")))
     gap = F.when(F.col("changes") > 0, F.col("days_obs") / F.col("changes"))
+    # fixed values: the texts of the advice
     advice = (
         F.when(F.col("days_obs") < 7, "aguardando dados (≥7 dias)")
         .when(F.col("changes") == 0, "monthly (nenhuma mudança ainda — revisar aos 60d)")

@@ -133,16 +133,15 @@ def lineage_tree(lineages: DataFrame, orgs: DataFrame, root: str) -> DataFrame:
     by id. path sorts the rows. A parent that does not exist makes a root. The recursion joins the
     level above with the children, so it takes as many steps as the tree is deep.
     """
-    spark = lineages.sparkSession
     n = orgs_by_lineage(orgs, lineages, root).groupBy("node").agg(F.count("*").alias("orgs"))
     ids = lineages.select(F.col("id").alias("__parent"))
     nodes = lineages.join(n, lineages["id"] == n["node"], "left").join(ids, lineages["parent_id"] == ids["__parent"], "left")
     nodes = nodes.select("id", "name", F.col("__parent").alias("parent"), F.coalesce("orgs", F.lit(0)).cast("bigint").alias("orgs"))
-    nodes.createOrReplaceTempView("__lineage_nodes")
     key = "concat(lpad(cast(1000000000 - {t}.orgs as string), 10, '0'), ':', {t}.id)"
-    return spark.sql(f"""
+    query = f"""
         WITH RECURSIVE tree(id, name, depth, orgs, path) AS (
-          SELECT id, name, 0, orgs, CASE WHEN id = '{root}' THEN '0' ELSE concat('1', id) END FROM __lineage_nodes WHERE parent IS NULL
+          SELECT id, name, 0, orgs, CASE WHEN id = :root THEN '0' ELSE concat('1', id) END FROM {{nodes}} WHERE parent IS NULL
           UNION ALL
-          SELECT c.id, c.name, t.depth + 1, c.orgs, concat(t.path, '/', {key.format(t="c")}) FROM tree t JOIN __lineage_nodes c ON c.parent = t.id
-        ) SELECT id, name, depth, orgs, path FROM tree""")
+          SELECT c.id, c.name, t.depth + 1, c.orgs, concat(t.path, '/', {key.format(t="c")}) FROM tree t JOIN {{nodes}} c ON c.parent = t.id
+        ) SELECT id, name, depth, orgs, path FROM tree"""
+    return lineages.sparkSession.sql(query, args={"root": root}, nodes=nodes)

@@ -237,7 +237,7 @@ ORACLES = {
     "translation_batches": f"WITH {I_}, {_PENDING} SELECT hash, CAST(floor((row_number() OVER (ORDER BY hash) - 1) / 25) AS BIGINT) AS batch FROM u",
     "blocklist_anti": "WITH b AS (SELECT regexp_extract(url, '//([^/]+)', 1) AS d FROM sources WHERE priority = 3), h AS (SELECT id, regexp_replace(lower(regexp_extract(url, '//([^/:]+)', 1)), '^www\\.', '') AS host FROM sources) SELECT id FROM h WHERE NOT EXISTS (SELECT 1 FROM b WHERE host = d OR suffix(host, '.' || d))",
     "endpoint_resolution": "SELECT id, CASE engine WHEN 'wp_json' THEN regexp_extract(url, '^[a-z]+://[^/?#]+') || '/wp-json/wp/v2/posts?per_page=20&_fields=id,link,title,excerpt,date_gmt,modified_gmt' WHEN 'rss' THEN rtrim(url, '/') || '/feed/' ELSE url END AS endpoint FROM sources",
-    "payload_sniff": "WITH h AS (SELECT raw_path, regexp_replace(substr(body, 1, 400), '^\\s+', '') AS h FROM raw_pages) SELECT raw_path, CASE WHEN h[1] IN ('[', '{') THEN 'json' WHEN substr(h, 1, 5) IN ('<?xml', '<rss ', '<feed') THEN 'xml' ELSE 'html' END AS kind FROM h",
+    "payload_sniff": "WITH h AS (SELECT raw_path, regexp_replace(body, '^\\s+', '') AS h FROM raw_pages) SELECT raw_path, CASE WHEN h[1] IN ('[', '{') THEN 'json' WHEN substr(h, 1, 5) IN ('<?xml', '<rss ', '<feed') THEN 'xml' ELSE 'html' END AS kind FROM h",
     "upsert_items": f"""WITH {I_}, o AS (SELECT *, {_ITEM_HASH} AS h FROM i WHERE id % 3 <> 0), m AS (SELECT * REPLACE (CASE WHEN id % 6 = 2 THEN title || ' (2)' ELSE title END AS title) FROM i WHERE id % 3 <> 1), n AS (SELECT *, {_ITEM_HASH} AS h FROM m),
       j AS (SELECT coalesce(o.url, n.url) AS url, CASE WHEN o.url IS NULL THEN 'new' WHEN n.url IS NULL THEN 'kept' WHEN o.h <> n.h THEN 'updated' ELSE 'unchanged' END AS merge_state, o.title ot, n.title nt, o.title_pt op, n.title_pt np, o.h oh, n.h nh FROM o FULL JOIN n ON o.url = n.url)
       SELECT url, CASE WHEN merge_state IN ('new', 'updated') THEN nt ELSE ot END AS title, CASE merge_state WHEN 'new' THEN np WHEN 'updated' THEN NULL ELSE op END AS title_pt, CASE WHEN merge_state IN ('new', 'updated') THEN nh ELSE oh END AS content_hash, merge_state FROM j""",

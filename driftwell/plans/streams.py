@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,14 +9,14 @@ from pyspark.sql import functions as F
 
 from driftwell.functions import payloads
 from driftwell.schemas import FETCH
+from driftwell.session import shared_folder
 from driftwell.sources.tables import table
 from driftwell.streaming import logs
 
 
 def _shared(spark: SparkSession) -> str:
     """A new folder under the session's checkpoint folder, which all executors share."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "driftwell-checkpoint")
-    return f"{root}/streams/{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/streams/{uuid.uuid4().hex}"
 
 
 def window_counts(spark: SparkSession, d: str) -> DataFrame:
@@ -27,12 +25,14 @@ def window_counts(spark: SparkSession, d: str) -> DataFrame:
     # a glob stands for a file as well as for a folder of files
     counts = logs.counts_per_window(logs.file_stream(spark, f"{d}/fetches.parque[t]", FETCH).filter("fetched_at is not null"))
 
-    def write(batch: DataFrame, _: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{at}/out")
+    def write(batch: DataFrame, n: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{at}/out/batch={n}")
 
-    query = counts.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start()
+    # update mode: windows that the watermark has passed leave the state; the last word of each window counts
+    query = counts.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.read.parquet(f"{at}/out").filter("window_start is not null").select("source_id", F.date_format("window_start", "yyyy-MM-dd").alias("window_start"), "probes", "changes")
+    rows = spark.read.parquet(f"{at}/out").groupBy("source_id", "window_start").agg(F.max_by(F.struct("probes", "changes"), "batch").alias("last"))
+    return rows.select("source_id", F.date_format("window_start", "yyyy-MM-dd").alias("window_start"), "last.probes", "last.changes")
 
 
 def visible_hash(spark: SparkSession, d: str) -> DataFrame:
@@ -48,6 +48,6 @@ def json_field(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {"streaming_window_counts": window_counts, "visible_text_hash": visible_hash, "json_field": json_field}
 ORACLES = {
-    "streaming_window_counts": "SELECT source_id, strftime(make_timestamp(CAST(floor(epoch_us(CAST(fetched_at AS TIMESTAMPTZ)) / 604800000000) AS BIGINT) * 604800000000), '%Y-%m-%d') AS window_start, count(*) AS probes, CAST(sum(coalesce(changed, 0)) AS BIGINT) AS changes FROM fetches WHERE fetched_at IS NOT NULL GROUP BY 1, 2",
+    "streaming_window_counts": "SELECT source_id, strftime(make_timestamp(CAST(floor(epoch_us(CAST(fetched_at AS TIMESTAMPTZ)) / 604800000000) AS BIGINT) * 604800000000), '%Y-%m-%d') AS window_start, count(*) AS probes, CAST(sum(coalesce(changed, 0)) AS BIGINT) AS changes FROM (SELECT DISTINCT * FROM fetches) WHERE fetched_at IS NOT NULL GROUP BY 1, 2",
     "json_field": "SELECT event_id, json_extract_string(props, '$.k') AS k FROM events",
 }

@@ -26,14 +26,24 @@ def build(master: str = "local[*]", app: str = "driftwell", **conf: str) -> Spar
     return b.getOrCreate()
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """checkpoint() into the folder that all executors share.
+def shared_folder(spark: SparkSession) -> str:
+    """The session's ``spark.checkpoint.dir``, which all executors share.
 
-    The folder is the session's ``spark.checkpoint.dir``; only where none is set (tests on one
-    machine) is a local one made.
+    Only where none is set and driver and executors are one process (tests) is a folder of this machine taken;
+    on a cluster that would be another disk on each node, so there it is an error.
     """
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return os.path.join(tempfile.gettempdir(), "driftwell-checkpoint")
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """checkpoint() into shared_folder(), or into the folder that the session set itself."""
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(shared or os.path.join(tempfile.gettempdir(), "driftwell-checkpoint"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)

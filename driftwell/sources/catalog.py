@@ -53,11 +53,13 @@ def allowed(df: DataFrame, blocklist: DataFrame, url: str = "url") -> DataFrame:
 
     Every suffix of the host is looked up by an equal-key anti join, so this is no theta join.
     """
-    parts = F.split(text.host(F.col(url)), "\\.")
+    host = text.host(F.col(url))
+    parts = F.split("__host", "\\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
-    rows = df.withColumn("__id", F.monotonically_increasing_id())
-    hit = rows.select("__id", F.explode(suffixes).alias("domain")).join(blocklist.select(F.lower("domain").alias("domain")).distinct(), "domain", "left_semi").select("__id").distinct()
-    return rows.join(hit, "__id", "left_anti").drop("__id")
+    domains = blocklist.select(F.lower("domain").alias("domain")).distinct()
+    hosts = df.select(host.alias("__host")).filter("__host is not null").distinct()  # each host is looked up once
+    blocked = hosts.select("__host", F.explode(suffixes).alias("domain")).join(domains, "domain", "left_semi").select("__host").distinct()
+    return df.withColumn("__host", host).join(blocked, "__host", "left_anti").drop("__host")
 
 
 def robots_allows(status: int | None, body: str, url: str, agent: str) -> bool:

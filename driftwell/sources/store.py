@@ -1,4 +1,4 @@
-"""Versioned tables: a new version is written beside the old one, then a small pointer file switches over."""
+"""Versioned tables: a new version is written beside the old ones, then a pointer file of its own makes it count."""
 
 from __future__ import annotations
 
@@ -14,17 +14,19 @@ def _path(spark: SparkSession, *parts: str):
     return spark._jvm.org.apache.hadoop.fs.Path("/".join(parts))
 
 
+def _versions(spark: SparkSession, table: str) -> list[int]:
+    """Numbers of the committed versions."""
+    fs, folder = _fs(spark, table), _path(spark, table)
+    if not fs.exists(folder):
+        return []
+    names = (f.getPath().getName() for f in fs.listStatus(folder))
+    return sorted(int(n.rpartition(".")[2]) for n in names if n.startswith("CURRENT.") and n.rpartition(".")[2].isdigit())
+
+
 def current(spark: SparkSession, table: str) -> str | None:
-    """Folder of the current version; null for a new table."""
-    fs, pointer = _fs(spark, table), _path(spark, table, "CURRENT")
-    if not fs.exists(pointer):
-        return None
-    stream = fs.open(pointer)
-    try:
-        name = spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8").strip()
-    finally:
-        stream.close()
-    return f"{table}/{name}"
+    """Folder of the current version, the highest committed one; null for a new table."""
+    found = _versions(spark, table)
+    return f"{table}/v{found[-1]}" if found else None
 
 
 def read(spark: SparkSession, table: str) -> DataFrame | None:
@@ -33,17 +35,18 @@ def read(spark: SparkSession, table: str) -> DataFrame | None:
 
 
 def commit(df: DataFrame, table: str) -> str:
-    """Write *df* as the next version and make it the current one. A failed write leaves the old one in place."""
+    """Write *df* as the next version and make it the current one.
+
+    A version counts from the moment its own pointer file exists: nothing is ever renamed or deleted, so a reader sees the old
+    version or the new one, and a failed write leaves the old one in place.
+    """
     spark = df.sparkSession
-    old = current(spark, table)
-    n = int(old.rpartition("v")[2]) + 1 if old else 1
+    n = (_versions(spark, table) or [0])[-1] + 1
     df.write.mode("overwrite").parquet(f"{table}/v{n}")
-    fs = _fs(spark, table)
-    made, pointer = _path(spark, table, f"CURRENT.{n}"), _path(spark, table, "CURRENT")
-    out = fs.create(made, True)
-    out.write(f"v{n}".encode())
-    out.close()
-    if fs.exists(pointer):
-        fs.delete(pointer, False)
-    fs.rename(made, pointer)
+    _fs(spark, table).create(_path(spark, table, f"CURRENT.{n}"), False).close()
     return f"{table}/v{n}"
+
+
+def append(df: DataFrame, table: str) -> None:
+    """Append-only tables (fetch and probe logs): rows are added, none is changed."""
+    df.write.mode("append").parquet(table)

@@ -61,9 +61,12 @@ def fail_streaks(log: DataFrame, at: int = 3) -> DataFrame:
 
 
 def counts_per_window(log: DataFrame, window: str = "7 days", late: str = "2 days") -> DataFrame:
-    """source_id, window_start, probes, changes per tumbling window, with a watermark for late rows (A1)."""
+    """source_id, window_start, probes, changes per tumbling window, with a watermark for late rows (A1).
+
+    A log row that comes again within the watermark counts once; rows without a readable time are left out.
+    """
     at = F.col("fetched_at").try_cast("timestamp")
-    df = log.withColumn("__at", at).withWatermark("__at", late)
+    df = log.withColumn("__at", at).filter("__at is not null").withWatermark("__at", late).dropDuplicatesWithinWatermark(["id"])
     return df.groupBy("source_id", F.window("__at", window)).agg(F.count("*").alias("probes"), F.sum(F.coalesce("changed", F.lit(0))).cast("bigint").alias("changes")).select("source_id", F.col("window.start").alias("window_start"), "probes", "changes")
 
 

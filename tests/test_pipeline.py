@@ -76,7 +76,7 @@ def test_streaming_equals_batch(spark, tmp_path):
     for r in run(stream.fail_streaks(source()), "streaks", "update"):
         last[r.source_id] = max(last.get(r.source_id, ("", 0)), (r.fetched_at, r.streak))
     assert {k: v[1] for k, v in last.items()} == {"a": 3, "b": 0, "c": 0, "d": 12}
-    windows = run(stream.counts_per_window(source()), "windows", "complete")
+    windows = run(stream.counts_per_window(source()), "windows", "update")
     assert sum(r.probes for r in windows) == log.count()
 
 
