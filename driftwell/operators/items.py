@@ -73,6 +73,12 @@ def first_per_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame
     return df.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("__r")).select(*keys, "__r.*")
 
 
+def latest(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """The last row of each key by *order*: one aggregate."""
+    rest = [c for c in df.columns if c not in keys]
+    return df.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("__r")).select(*keys, "__r.*")
+
+
 def classify_pending(items: DataFrame) -> DataFrame:
     """Items with news and pages promoted by their titles, never demoted (E-1, F5); reclassified is 0 or 1."""
     found = F.when(F.col("type").isin("news", "page"), text.classify_type(F.col("title")))
@@ -150,3 +156,50 @@ def backfill(items: DataFrame, cache: DataFrame) -> DataFrame:
         filled = F.coalesce(F.col(f"{column}_pt"), F.when(F.col("lang") == "pt", F.col(column)).otherwise(F.col("__t")))
         out = out.withColumn(f"{column}_pt", filled).drop("__k", "__h", "__t")
     return out
+
+
+def numbered(df: DataFrame, key: str, start: int, out: str = "id", buckets: int = 256) -> DataFrame:
+    """*df* with numbers from *start* + 1 in *out*, in the order of the key's hash: a two-level count, no global window."""
+    b = df.withColumn("__b", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
+    n = b.groupBy("__b").agg(F.count("*").alias("__n"))
+    off = n.select("__b", F.coalesce(F.sum("__n").over(Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__o"))  # at most *buckets* rows
+    rn = F.row_number().over(Window.partitionBy("__b").orderBy(key))
+    return b.join(F.broadcast(off), "__b").withColumn(out, (rn + F.col("__o") + start).cast("bigint")).drop("__b", "__o")
+
+
+#: What a translation service must answer (N5): a list of translations, each with the number and the text.
+ANSWER = "struct<translations: array<struct<id: int, pt: string>>>"
+
+
+def requests(queue: DataFrame, size: int = 25) -> DataFrame:
+    """batch, hashes, request: JSON arrays of {id, text}, *size* strings each; letters stay as they are."""
+    each = batches(queue.select("hash", "text"), size).groupBy("batch").agg(F.sort_array(F.collect_list(F.struct("hash", "text"))).alias("x"))
+    numbered_ = F.transform("x", lambda x, i: F.struct(i.alias("id"), x["text"].alias("text")))
+    return each.select("batch", F.col("x.hash").alias("hashes"), F.to_json(numbered_).alias("request"))
+
+
+def answers(sent: DataFrame) -> DataFrame:
+    """hash, text_pt of requests() with an *answer*: the JSON decoded by ANSWER.
+
+    An answer that is no such JSON, a translation without number or text, or with a number that was not sent, gives nothing: its
+    strings stay pending (E25).
+    """
+    told = sent.select("hashes", F.from_json("answer", ANSWER)["translations"].alias("t")).select("hashes", F.inline("t"))
+    good = told.filter("id between 0 and size(hashes) - 1 and pt is not null")
+    return good.select(F.element_at("hashes", F.col("id") + 1).alias("hash"), F.col("pt").alias("text_pt")).groupBy("hash").agg(F.max("text_pt").alias("text_pt"))
+
+
+def ask(sent: DataFrame, send: Callable[[str], str]) -> DataFrame:
+    """requests() with answer and error: *send* takes and gives JSON. A request that fails has an error, the others go on."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            out = []
+            for request in f["request"]:
+                try:
+                    out.append((send(request), None))
+                except Exception as e:  # a failed call leaves its strings pending
+                    out.append((None, f"{type(e).__name__}: {e}"[:200]))
+            yield f.assign(answer=[a for a, _ in out], error=[e for _, e in out])
+
+    return sent.mapInPandas(run, "batch bigint, hashes array<string>, request string, answer string, error string")
