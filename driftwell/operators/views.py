@@ -20,7 +20,7 @@ def display_title() -> Column:
 
 
 def future_events(events: DataFrame, items: DataFrame, sources: DataFrame, lineages: DataFrame, as_of: str) -> DataFrame:
-    """Events that end (or start) on or after *as_of*, by text comparison; both null drops."""
+    """Events that end (or start) on or after *as_of*, by text comparison; both null drops."""
     e = events.filter(F.coalesce("ends_at", "starts_at") >= as_of)
     i = items.select(F.col("id").alias("item_id"), "source_id", display_title().alias("title"), "url")
     s = sources.select(F.col("id").alias("source_id"), F.col("name").alias("source_name"))
@@ -29,6 +29,32 @@ def future_events(events: DataFrame, items: DataFrame, sources: DataFrame, linea
     return df.select("item_id", "starts_at", "ends_at", "city", "country", "region", "online", "instructor", "lineage", "title", "url", "source_name", "lineage_name")
 
 
+def agenda_ordered(agenda: DataFrame) -> DataFrame:
+    """The agenda by start, nulls first, ties by id (O1): a range partitioning, so a sort of any size."""
+    return agenda.orderBy(F.asc_nulls_first("starts_at"), "item_id")
+
+
+def news_ordered(news: DataFrame) -> DataFrame:
+    """News, the newest first, ties by id."""
+    return news.orderBy(F.desc_nulls_last("published_at"), F.desc("id"))
+
+
+def home_top(agenda: DataFrame, news: DataFrame, events: int = 3, articles: int = 5) -> DataFrame:
+    """section, id, title, url of the next events and the newest news (O3): two top-k, no full sort."""
+    e = agenda_ordered(agenda).limit(events).select(F.lit("events").alias("section"), F.col("item_id").alias("id"), "title", "url")
+    return e.unionByName(news_ordered(news).limit(articles).select(F.lit("news").alias("section"), "id", "title", "url"))
+
+
+def orgs_ordered(orgs: DataFrame) -> DataFrame:
+    """Organisations by country, kind and name."""
+    return orgs.orderBy("country", "kind", "name", "id")
+
+
+def sources_ordered(sources: DataFrame) -> DataFrame:
+    """Active sources by priority and id."""
+    return sources.filter("active = 1").orderBy("priority", "id")
+
+
 def facets(agenda: DataFrame, country: str = "", lineage: str = "", region: str = "", online: bool = False) -> DataFrame:
     """Facet filter; an empty facet is any."""
     for name, value in (("country", country), ("lineage", lineage), ("region", region)):
@@ -67,7 +93,7 @@ def feed_labels(items: DataFrame) -> DataFrame:
 
 
 def recent_news(items: DataFrame, sources: DataFrame, as_of: str) -> DataFrame:
-    """News of the month before *as_of*."""
+    """News of the month before *as_of*."""
     s = sources.select(F.col("id").alias("source_id"), F.col("name").alias("source_name"))
     df = items.filter((F.col("type") == "news") & (F.col("published_at") >= dates.month_before(as_of))).join(s, "source_id")
     return df.select("id", display_title().alias("title"), "url", "published_at", "source_name")

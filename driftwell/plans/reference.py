@@ -69,20 +69,15 @@ def _fmt_range(a: str, b: str) -> str:
     p = lambda c, at, n: f"TRY_CAST(substr({c}, {at}, {n}) AS INT)"
     d = lambda c: p(c, 9, 2)
     m = lambda c: f"{months}[{p(c, 6, 2)}]"
-    y, mo = f"{p(a, 1, 4)} = {p(b, 1, 4)}", f"{p(a, 6, 2)} = {p(b, 6, 2)}"
+    shaped = " AND ".join(f"regexp_matches({c}, '^\\d{{4}}-\\d{{2}}-\\d{{2}}')" for c in (a, b))
+    y, mo = f"{shaped} AND {p(a, 1, 4)} = {p(b, 1, 4)}", f"{p(a, 6, 2)} = {p(b, 6, 2)}"
     # parts that are null make the whole null, as in a concatenation
     one = f"{d(a)}::VARCHAR || '–' || {d(b)}::VARCHAR || ' ' || {m(a)} || ' ' || substr({a}, 1, 4)"
     two = f"{d(a)}::VARCHAR || ' ' || {m(a)} || ' – ' || {d(b)}::VARCHAR || ' ' || {m(b)} || ' ' || substr({a}, 1, 4)"
     return f"CASE WHEN {a} IS NULL THEN NULL WHEN {b} IS NULL OR {b} = {a} THEN {_fmt(a)} WHEN {y} AND {mo} THEN {one} WHEN {y} THEN {two} ELSE {_fmt(a)} || ' – ' || {_fmt(b)} END"
 
 
-def _clean_dates(s: SparkSession, d: str) -> DataFrame:
-    e = _events(s, d).filter("starts_at rlike '^[0-9]{4}-[0-9]{2}-[0-9]{2}' and (ends_at is null or ends_at rlike '^[0-9]{4}-[0-9]{2}-[0-9]{2}')")
-    return e.select("item_id", dates.fmt_date(F.col("starts_at")).alias("one"), dates.fmt_range(F.col("starts_at"), F.col("ends_at")).alias("both"))
-
-
-def _all_dates(s: SparkSession, d: str) -> DataFrame:
-    """date_range_fmt of every event, whatever was typed."""
+def _dates(s: SparkSession, d: str) -> DataFrame:
     return _events(s, d).select("item_id", dates.fmt_date(F.col("starts_at")).alias("one"), dates.fmt_range(F.col("starts_at"), F.col("ends_at")).alias("both"))
 
 
@@ -100,18 +95,23 @@ def _upsert(s: SparkSession, d: str) -> DataFrame:
 
 
 def _event_upsert(s: SparkSession, d: str) -> DataFrame:
-    e = _events(s, d)
-    new = e.filter("item_id % 2 = 0").withColumns({"city": F.upper("city"), "lineage": F.lit("x"), "region": F.lit("y"), "org_id": F.lit("z")})
+    e = _events(s, d)  # every event is on one side at least
+    new = e.filter("item_id % 2 = 0 or item_id % 5 = 0").withColumns({"city": F.upper("city"), "lineage": F.lit("x"), "region": F.lit("y"), "org_id": F.lit("z")})
     out = it.upsert_events(e.filter("item_id % 5 <> 0"), new)
     return out.select("item_id", "city", "lineage", "region", "org_id", "merge_state")
 
 
-def _event_upsert_all(s: SparkSession, d: str) -> DataFrame:
-    """event_upsert_preserve with every event on one side at least."""
-    e = _events(s, d)
-    new = e.filter("item_id % 2 = 0 or item_id % 5 = 0").withColumns({"city": F.upper("city"), "lineage": F.lit("x"), "region": F.lit("y"), "org_id": F.lit("z")})
-    out = it.upsert_events(e.filter("item_id % 5 <> 0"), new)
-    return out.select("item_id", "city", "lineage", "region", "org_id", "merge_state")
+def _news(s: SparkSession, d: str) -> DataFrame:
+    return views.recent_news(_items(s, d, "id", "type", "title", "title_pt", "url", "published_at", "source_id"), table(s, d, "sources"), AS_OF)
+
+
+def _queue(s: SparkSession, d: str, cache: DataFrame | None = None) -> DataFrame:
+    return it.translation_queue(_items(s, d, "id", "title", "title_pt", "summary", "summary_pt", "lang"), cache)
+
+
+def _cached(s: SparkSession, d: str) -> DataFrame:
+    """The queue when half of its strings are in the cache."""
+    return _queue(s, d, _queue(s, d).filter("hash < '8'").select(F.col("hash").alias("content_hash"))).select("hash")
 
 
 QUERIES = {
@@ -127,11 +127,15 @@ QUERIES = {
     "probe_cadence_report": lambda s, d: logs.cadence(_log(s, d, "id", "source_id", "fetched_at", "changed", "error"), "source_id", "fetched_at", "changed", "error").join(table(s, d, "sources").select(F.col("id").alias("source_id"), "name", "country"), "source_id", "left").select("source_id", F.coalesce("name", "source_id").alias("name"), F.coalesce("country", F.lit("?")).alias("country"), "probes", "changes", "errors", "last_change", "days_obs", "interval_days", "cadence"),
     "future_events": _agenda,
     "agenda_facets": lambda s, d: views.facets(_agenda(s, d), country="BR").select("item_id", "city"),
-    "agenda_lines": lambda s, d: views.agenda_lines(_agenda(s, d).filter("starts_at rlike '^[0-9]{4}-[0-9]{2}-[0-9]{2}' and (ends_at is null or ends_at rlike '^[0-9]{4}-[0-9]{2}-[0-9]{2}')")),
-    "agenda_lines_all": lambda s, d: views.agenda_lines(_agenda(s, d)),
+    "agenda_lines": lambda s, d: views.agenda_lines(_agenda(s, d)),
+    "agenda_ordered": lambda s, d: views.agenda_ordered(_agenda(s, d)).select("item_id", "starts_at"),
+    "agenda_online": lambda s, d: views.facets(_agenda(s, d), online=True).select("item_id"),
+    "agenda_near_me": lambda s, d: views.facets(_agenda(s, d), region="europa", lineage="").select("item_id", "region"),
+    "home_top": lambda s, d: views.home_top(_agenda(s, d), _news(s, d)),
+    "orgs_ordered": lambda s, d: views.orgs_ordered(table(s, d, "orgs")).select("id", "country", "kind", "name"),
+    "sources_ordered": lambda s, d: views.sources_ordered(table(s, d, "sources")).select("id", "priority"),
     "facet_values": lambda s, d: views.facet_values(_agenda(s, d)),
-    "date_range_fmt": _clean_dates,
-    "date_range_fmt_all": _all_dates,
+    "date_range_fmt": _dates,
     "news_feed_top120": lambda s, d: views.feed(_items(s, d, "id", "type", "title", "title_pt", "summary_pt", "url", "lang", "published_at", "discovered_at", "source_id"), table(s, d, "sources")),
     "feed_labels": lambda s, d: views.feed_labels(_items(s, d, "id", "type", "lang", "summary")),
     "recent_news_month": lambda s, d: views.recent_news(_items(s, d, "id", "type", "title", "title_pt", "url", "published_at", "source_id"), table(s, d, "sources"), AS_OF),
@@ -147,12 +151,13 @@ QUERIES = {
     "summary_500": lambda s, d: _items(s, d, "id", "summary").select("id", text.cut500(F.col("summary")).alias("short")),
     "dedupe_first": lambda s, d: it.first_per_key(_items(s, d, "id", "summary").filter("summary is not null").withColumn("hash", text.hash16(F.col("summary"))).select("hash", "id"), ["hash"], ["id"]),
     "translation_pending_unique": lambda s, d: it.translation_queue(_items(s, d, "id", "title", "title_pt", "summary", "summary_pt", "lang")).select("hash"),
+    "translation_pending_cached": _cached,
+    "endpoint_override": lambda s, d: table(s, d, "sources").select("id", catalog.endpoint(F.col("engine"), F.col("url"), F.when(F.col("priority") == 1, F.create_map(F.lit("rss"), F.lit("own.xml")))).alias("endpoint")),
     "translation_batches": lambda s, d: it.batches(it.translation_queue(_items(s, d, "id", "title", "title_pt", "summary", "summary_pt", "lang"))).select("hash", "batch"),
     "blocklist_anti": lambda s, d: catalog.allowed(table(s, d, "sources").select("id", "url"), table(s, d, "sources").filter("priority = 3").select(F.regexp_extract("url", "//([^/]+)", 1).alias("domain"))).select("id"),
     "endpoint_resolution": lambda s, d: table(s, d, "sources").select("id", catalog.endpoint(F.col("engine"), F.col("url")).alias("endpoint")),
     "payload_sniff": lambda s, d: table(s, d, "raw_pages", "raw_path", "body").select("raw_path", text.payload_kind(F.col("body")).alias("kind")),
     "upsert_items": _upsert,
-    "event_upsert_all": _event_upsert_all,
     "event_upsert_preserve": _event_upsert,
     "seed_insert_ignore": lambda s, d: it.fill(it.insert_ignore(table(s, d, "orgs").filter("kind <> 'dojo'"), table(s, d, "orgs"), "id"), "instagram", {"org026_gelidino": "seeded"}).select("id", "instagram"),
 }
@@ -170,7 +175,7 @@ _streak = lambda cap: f"""WITH {F_}, {STREAK}, q AS (SELECT source_id, coalesce(
    max(CASE WHEN rn = 1 AND bad THEN coalesce(nullif(error, ''), 'http_' || http_status) END) AS last_error FROM r {cap} GROUP BY 1),
    z AS (SELECT s.id AS source_id, CAST(coalesce(streak, 0) AS BIGINT) AS streak, last_error FROM sources s LEFT JOIN q ON q.source_id = s.id WHERE active = 1)"""
 
-_EVENT_DATES = "starts_at SIMILAR TO '[0-9]{4}-[0-9]{2}-[0-9]{2}.*' AND (ends_at IS NULL OR ends_at SIMILAR TO '[0-9]{4}-[0-9]{2}-[0-9]{2}.*')"
+_SLASH = lambda c: f"CASE WHEN coalesce({c}, '') = '' THEN '' ELSE substr({c}, 9, 2) || '/' || substr({c}, 6, 2) || '/' || substr({c}, 1, 4) END"
 _ITEM_HASH = HASH16.format("concat(coalesce(title, 'None'), '|', coalesce(summary, ''), '||')")
 _WS = r"[\s\x{0B}\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 _STRIP = lambda c: f"regexp_replace({c}, '^{_WS}+|{_WS}+$', '', 'g')"
@@ -208,11 +213,24 @@ ORACLES = {
     "future_events": f"WITH {I_}, {E_}, {AGENDA} SELECT * FROM a",
     "agenda_facets": f"WITH {I_}, {E_}, {AGENDA} SELECT item_id, city FROM a WHERE coalesce(country, '') = 'BR'",
     "agenda_lines": f"""WITH {I_}, {E_}, {AGENDA} SELECT item_id, CASE WHEN contains(lower(coalesce(title, '')), 'stage') OR coalesce(instructor, '') <> '' THEN 'seminar' ELSE 'event' END AS badge,
-      concat_ws(' · ', nullif(city, ''), nullif({_case(views.COUNTRIES, 'country', 'country')}, '')) AS place, {_fmt_range('starts_at', 'ends_at')} AS when_text FROM a WHERE {_EVENT_DATES}""",
+      concat_ws(' · ', nullif(city, ''), nullif({_case(views.COUNTRIES, 'country', 'country')}, '')) AS place, {_fmt_range('starts_at', 'ends_at')} AS when_text FROM a""",
+    "agenda_ordered": f"WITH {I_}, {E_}, {AGENDA} SELECT item_id, starts_at FROM a",
+    "agenda_online": f"WITH {I_}, {E_}, {AGENDA} SELECT item_id FROM a WHERE online = 1",
+    "agenda_near_me": f"WITH {I_}, {E_}, {AGENDA} SELECT item_id, region FROM a WHERE region = 'europa'",
+    "home_top": f"""WITH {I_}, {E_}, {AGENDA}, n AS (SELECT i.id, coalesce(title_pt, title) AS title, i.url, published_at FROM i JOIN sources s ON s.id = i.source_id WHERE type = 'news' AND published_at >= {MONTH}),
+      t AS (SELECT 'events' AS section, item_id AS id, title, url FROM a ORDER BY starts_at ASC NULLS FIRST, item_id LIMIT 3), u AS (SELECT 'news' AS section, id, title, url FROM n ORDER BY published_at DESC NULLS LAST, id DESC LIMIT 5) SELECT * FROM t UNION ALL SELECT * FROM u""",
+    "orgs_ordered": "SELECT id, country, kind, name FROM orgs",
+    "sources_ordered": "SELECT id, priority FROM sources WHERE active = 1",
+    "newsletter_lines": f"""WITH {I_}, {E_}, {AGENDA}, n AS (SELECT i.id, coalesce(title_pt, title) AS title, i.url, published_at, s.name AS source_name FROM i JOIN sources s ON s.id = i.source_id WHERE type = 'news' AND published_at >= {MONTH})
+      SELECT 'events' AS section, item_id AS id, '- **' || {_SLASH('starts_at')} || CASE WHEN ends_at IS NOT NULL AND coalesce(ends_at <> starts_at, false) THEN ' – ' || {_SLASH('ends_at')} ELSE '' END || '** · ' || concat_ws(' · ', nullif(city, ''), nullif({_case(views.COUNTRIES_NEWSLETTER, 'country', 'country')}, ''))
+        || ' — [' || coalesce(title, 'None') || '](' || url || ')' || CASE WHEN coalesce(instructor, '') <> '' THEN ' — ' || instructor ELSE '' END AS line FROM a
+      UNION ALL SELECT 'news', id, '- ' || {_SLASH('published_at')} || ' · [' || coalesce(title, 'None') || '](' || url || ') — ' || source_name FROM n""",
+    "translation_pending_cached": f"WITH {I_}, {_PENDING} SELECT hash FROM u WHERE hash >= '8'",
+    "endpoint_override": "SELECT id, CASE WHEN engine = 'rss' AND priority = 1 THEN 'own.xml' ELSE CASE engine WHEN 'wp_json' THEN regexp_extract(url, '^[a-z]+://[^/?#]+') || '/wp-json/wp/v2/posts?per_page=20&_fields=id,link,title,excerpt,date_gmt,modified_gmt' WHEN 'rss' THEN rtrim(url, '/') || '/feed/' ELSE url END END AS endpoint FROM sources",
     "facet_values": f"""WITH {I_}, {E_}, {AGENDA} SELECT DISTINCT 'country' AS facet, country AS value, country AS label FROM a WHERE country IS NOT NULL
       UNION ALL SELECT 'lineage', lineage, coalesce(arg_max(lineage_name, (starts_at, item_id)), lineage) FROM a WHERE lineage IS NOT NULL GROUP BY lineage
       UNION ALL SELECT 'online', 'online', CASE WHEN coalesce(bool_or(coalesce(online, 0) > 0), false) THEN 'true' ELSE 'false' END FROM a""",
-    "date_range_fmt": f"WITH {E_} SELECT item_id, {_fmt('starts_at')} AS one, {_fmt_range('starts_at', 'ends_at')} AS both FROM e WHERE {_EVENT_DATES}",
+    "date_range_fmt": f"WITH {E_} SELECT item_id, {_fmt('starts_at')} AS one, {_fmt_range('starts_at', 'ends_at')} AS both FROM e",
     "news_feed_top120": f"""WITH {I_} SELECT i.id, i.type, coalesce(title_pt, title) AS title, summary_pt, i.url, i.lang, coalesce(published_at, discovered_at) AS published_at, s.name AS source_name, s.country AS source_country
       FROM i JOIN sources s ON s.id = i.source_id WHERE i.type IN ('news', 'event', 'seminar') AND title IS NOT NULL ORDER BY coalesce(i.published_at, i.discovered_at) DESC NULLS LAST, i.id DESC LIMIT 120""",
     "feed_labels": f"""WITH {I_} SELECT id, {_case(views.BADGES, 'type', "'Notícia'")} AS badge, {_case(views.LANGUAGES, 'lang', "'original em português'")} AS lang_label,
@@ -241,7 +259,7 @@ ORACLES = {
     "upsert_items": f"""WITH {I_}, o AS (SELECT *, {_ITEM_HASH} AS h FROM i WHERE id % 3 <> 0), m AS (SELECT * REPLACE (CASE WHEN id % 6 = 2 THEN title || ' (2)' ELSE title END AS title) FROM i WHERE id % 3 <> 1), n AS (SELECT *, {_ITEM_HASH} AS h FROM m),
       j AS (SELECT coalesce(o.url, n.url) AS url, CASE WHEN o.url IS NULL THEN 'new' WHEN n.url IS NULL THEN 'kept' WHEN o.h <> n.h THEN 'updated' ELSE 'unchanged' END AS merge_state, o.title ot, n.title nt, o.title_pt op, n.title_pt np, o.h oh, n.h nh FROM o FULL JOIN n ON o.url = n.url)
       SELECT url, CASE WHEN merge_state IN ('new', 'updated') THEN nt ELSE ot END AS title, CASE merge_state WHEN 'new' THEN np WHEN 'updated' THEN NULL ELSE op END AS title_pt, CASE WHEN merge_state IN ('new', 'updated') THEN nh ELSE oh END AS content_hash, merge_state FROM j""",
-    "event_upsert_preserve": f"""WITH {E_}, o AS (SELECT * FROM e WHERE item_id % 5 <> 0), n AS (SELECT * FROM e WHERE item_id % 2 = 0)
+    "event_upsert_preserve": f"""WITH {E_}, o AS (SELECT * FROM e WHERE item_id % 5 <> 0), n AS (SELECT * FROM e WHERE item_id % 2 = 0 OR item_id % 5 = 0)
       SELECT coalesce(o.item_id, n.item_id) AS item_id, CASE WHEN n.item_id IS NULL THEN o.city ELSE upper(n.city) END AS city, CASE WHEN o.item_id IS NULL THEN 'x' ELSE o.lineage END AS lineage, CASE WHEN o.item_id IS NULL THEN 'y' ELSE o.region END AS region, CASE WHEN o.item_id IS NULL THEN 'z' ELSE o.org_id END AS org_id,
       CASE WHEN o.item_id IS NULL THEN 'new' WHEN n.item_id IS NULL THEN 'kept' ELSE 'updated' END AS merge_state FROM o FULL JOIN n ON o.item_id = n.item_id""",
     "seed_insert_ignore": "SELECT id, coalesce(instagram, CASE WHEN id = 'org026_gelidino' THEN 'seeded' END) AS instagram FROM orgs",

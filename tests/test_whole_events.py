@@ -1,4 +1,4 @@
-"""The queries over all events, without SQL: against brute force in Python."""
+"""The queries over all events against brute force in Python."""
 
 import re
 
@@ -44,21 +44,37 @@ def test_ranges(spark):
 
 def test_every_event_has_its_dates(spark, data):
     e = events(spark, data)
-    got = entry.queries()["date_range_fmt_all"](spark, data).collect()
+    got = entry.queries()["date_range_fmt"](spark, data).collect()
     assert sorted((r.item_id, r.one or "", r.both or "") for r in got) == sorted((k, one(r.starts_at) or "", both(r.starts_at, r.ends_at) or "") for k, r in e.items())
 
 
 def test_every_agenda_event_has_its_line(spark, data):
     agenda = {r.item_id: both(r.starts_at, r.ends_at) for r in entry.queries()["future_events"](spark, data).collect()}
-    got = entry.queries()["agenda_lines_all"](spark, data).collect()
+    got = entry.queries()["agenda_lines"](spark, data).collect()
     assert {r.item_id: r.when_text for r in got} == agenda and len(got) == len(agenda)
 
 
 def test_every_event_is_merged(spark, data):
     e = events(spark, data)
-    got = entry.queries()["event_upsert_all"](spark, data).collect()
+    got = entry.queries()["event_upsert_preserve"](spark, data).collect()
     want = {}
     for k, r in e.items():
         old, new = k % 5 != 0, k % 2 == 0 or k % 5 == 0
         want[k] = (r.city and r.city.upper() if new else r.city, *((r.lineage, r.region, r.org_id) if old else "xyz"), "kept" if not new else "updated" if old else "new")
     assert {r.item_id: tuple(r[1:]) for r in got} == want and len(got) == len(want)
+
+
+def test_orders(spark, data):
+    from driftwell.operators import views
+
+    q = entry.queries()
+    low = lambda t: (t is not None, t or "")
+    got = [(low(r.starts_at), r.item_id) for r in q["agenda_ordered"](spark, data).collect()]
+    assert got == sorted(got) and len(got) > 5
+    orgs = [tuple(map(low, (r.country, r.kind, r.name))) for r in q["orgs_ordered"](spark, data).collect()]
+    assert orgs == sorted(orgs)
+    sources = [(r.priority, r.id) for r in q["sources_ordered"](spark, data).collect()]
+    assert sources == sorted(sources)
+    news = [r.published_at for r in views.news_ordered(q["recent_news_month"](spark, data)).collect()]
+    assert news == sorted(news, reverse=True)
+    assert [r.section for r in q["home_top"](spark, data).collect()] == ["events"] * 3 + ["news"] * 5
