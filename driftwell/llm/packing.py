@@ -260,3 +260,18 @@ def fill_report(packed: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     each = packed.groupBy("container").agg(F.sum("piece_tokens").alias("tokens"))
     out = each.agg(F.count("*").alias("containers"), F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens"), F.coalesce(F.max("tokens"), F.lit(0)).alias("fullest"))
     return out.select("containers", "tokens", "fullest", F.ceil(F.col("tokens") / capacity).alias("least"), F.when(F.col("containers") > 0, F.col("tokens") / (F.col("containers") * capacity)).alias("used_share"))
+
+
+def check(packed: DataFrame, counts: DataFrame, key: str = "doc_id", size: str = "n_tokens", capacity: int = CAPACITY) -> DataFrame:
+    """One row: documents with tokens, and how often a rule is broken.
+
+    over_full: containers above the capacity; apart: containers whose pieces overlap or leave room between; lost: documents whose
+    pieces do not add up to their tokens; split: documents in several pieces though one container holds them; loose: whether a
+    hundredth of the room or more is unused.
+    """
+    each = packed.groupBy("container").agg(F.sum("piece_tokens").alias("tokens"), F.max(F.col("position") + F.col("piece_tokens")).alias("end"), F.count("*").alias("n"), F.count_distinct("position").alias("places"))
+    rooms = each.agg(F.coalesce(F.sum((F.col("tokens") > capacity).cast("int")), F.lit(0)).cast("bigint").alias("over_full"), F.coalesce(F.sum(((F.col("end") != F.col("tokens")) | (F.col("n") != F.col("places"))).cast("int")), F.lit(0)).cast("bigint").alias("apart"), (F.coalesce(F.sum("tokens"), F.lit(0)) < 0.99 * capacity * (F.count("*") - 1)).alias("loose"))
+    pieces = packed.groupBy(key).agg(F.sum("piece_tokens").alias("got"), F.count("*").alias("pieces"))
+    both = counts.select(key, F.col(size).alias("want")).filter("want > 0").join(pieces, key, "full")
+    docs = both.agg(F.count("want").alias("documents"), F.coalesce(F.sum((~F.col("got").eqNullSafe(F.col("want"))).cast("int")), F.lit(0)).cast("bigint").alias("lost"), F.coalesce(F.sum(((F.col("pieces") > 1) & (F.col("want") <= capacity)).cast("int")), F.lit(0)).cast("bigint").alias("split"))
+    return docs.withColumn("__one", F.lit(1)).join(rooms.withColumn("__one", F.lit(1)), "__one").drop("__one")  # a row each

@@ -25,6 +25,18 @@ def p8_fill(spark: SparkSession, d: str) -> DataFrame:
     return packing.fill_report(p8_containers(spark, d))
 
 
+def p8_check(spark: SparkSession, d: str) -> DataFrame:
+    """The rules of packing over all containers and documents: documents, over_full, apart, lost, split, loose."""
+    counts = cut_lineage(tokens.token_counts(table(spark, d, "documents", "doc_id", "text")))  # counted once
+    return packing.check(packing.pack(counts), counts)
+
+
+def p7_words(spark: SparkSession, d: str) -> DataFrame:
+    """doc_id, has_ids, whole of every document: whether it has ids, and whether they spell its text again."""
+    text = table(spark, d, "documents", "doc_id", "text")
+    return tokens.spelled(text).select("doc_id", "has_ids", "whole")
+
+
 def _p2_rows(spark: SparkSession, d: str) -> DataFrame:
     return lookalikes.fields(table(spark, d, "items", "id", "title", "summary"), "id", ["title", "summary"])
 
@@ -110,5 +122,10 @@ def p1_limits(spark: SparkSession, d: str) -> DataFrame:
     return truncation.limits(cut_lineage(truncation.judged(_p1_rows(spark, d))))
 
 
-QUERIES = {"p1_found": p1_found, "p1_sources": p1_sources, "p1_limits": p1_limits, "p9_found": p9_found, "p9_shares": p9_shares, "p5_found": p5_found, "p5_rendered": p5_rendered, "p3_found": p3_found, "p3_matches": p3_matches, "p3_unmatched": p3_unmatched, "p4_found": p4_found, "p4_segments": p4_segments, "p2_found": p2_found, "p2_canonical": p2_canonical, "p2_classes": p2_classes, "p7_ids": p7_ids, "p8_containers": p8_containers, "p8_fill": p8_fill}
-ORACLES: dict[str, str] = {}
+QUERIES = {"p1_found": p1_found, "p1_sources": p1_sources, "p1_limits": p1_limits, "p9_found": p9_found, "p9_shares": p9_shares, "p5_found": p5_found, "p5_rendered": p5_rendered, "p3_found": p3_found, "p3_matches": p3_matches, "p3_unmatched": p3_unmatched, "p4_found": p4_found, "p4_segments": p4_segments, "p2_found": p2_found, "p2_canonical": p2_canonical, "p2_classes": p2_classes, "p7_ids": p7_ids, "p8_containers": p8_containers, "p8_fill": p8_fill, "p8_check": p8_check, "p7_words": p7_words}
+ORACLES = {
+    # no rule is broken, and every document with text has its tokens in a container
+    "p8_check": "SELECT count(*) FILTER (WHERE text <> '') AS documents, CAST(0 AS BIGINT) AS over_full, CAST(0 AS BIGINT) AS apart, CAST(0 AS BIGINT) AS lost, CAST(0 AS BIGINT) AS split, false AS loose FROM documents",
+    # exact round trip: ids spell the text, empty and null texts have none
+    "p7_words": "SELECT doc_id, coalesce(text, '') <> '' AS has_ids, true AS whole FROM documents",
+}

@@ -125,6 +125,11 @@ def _encoder(broadcast, key: str, pattern: str) -> TrieBPE:
     return _ENCODERS[key, pattern]
 
 
+def _bytes_of_tokens(key: str, pattern: str) -> dict[int, bytes]:
+    """Of the worker's encoder (a function of the module, so that tasks see the module's table and no copy of it)."""
+    return _ENCODERS[key, pattern].bytes
+
+
 def _over_batches(df: DataFrame, text: str, schema: str, make, path: str | None, pattern: str) -> DataFrame:
     path = path or tokenizer_path()
     with open(path, "rb") as f:
@@ -160,3 +165,16 @@ def token_counts(documents: DataFrame, key: str = "doc_id", text: str = "text",
 
     kind = dict(documents.dtypes)[key]
     return _over_batches(documents.select(key, text), text, f"`{key}` {kind}, n_tokens bigint", make, path, pattern)
+
+
+def spelled(documents: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = None, pattern: str = PATTERN) -> DataFrame:
+    """key, has_ids, whole of every row: whether it has ids, and whether their bytes are its text again (null as empty)."""
+
+    def make(part: pa.RecordBatch, ids: list[list[int]]) -> pa.RecordBatch:
+        spell = _bytes_of_tokens(path_, pattern)
+        whole = [b"".join(spell[i] for i in x) == (t or "").encode("utf-8") for x, t in zip(ids, part.column(1).to_pylist(), strict=True)]
+        return pa.RecordBatch.from_arrays([part.column(0), pa.array([bool(x) for x in ids]), pa.array(whole, pa.bool_())], names=[key, "has_ids", "whole"])
+
+    path_ = path or tokenizer_path()
+    kind = dict(documents.dtypes)[key]
+    return _over_batches(documents.select(key, text), text, f"`{key}` {kind}, has_ids boolean, whole boolean", make, path_, pattern)

@@ -61,3 +61,12 @@ def test_pack_nothing(spark):
     empty = spark.createDataFrame([], "doc_id long, n_tokens int")
     assert P.pack(empty).collect() == []
     assert P.fill_report(P.pack(empty)).collect()[0].containers == 0
+
+
+def test_check_finds_what_is_broken(spark):
+    counts = spark.createDataFrame([(1, 5), (2, 7), (3, 0), (4, None), (5, 12)], "doc_id long, n_tokens long")
+    good = P.check(P.pack(counts, capacity=10), counts, capacity=10).first().asDict()
+    assert good["documents"] == 3 and (good["over_full"], good["apart"], good["lost"], good["split"]) == (0, 0, 0, 0)
+    rows = [(1, 0, 5, 0, 0), (2, 0, 7, 0, 4), (5, 0, 6, 1, 0), (5, 1, 5, 2, 1)]
+    bad = P.check(spark.createDataFrame(rows, "doc_id long, piece int, piece_tokens long, container long, position long"), counts, capacity=10).first().asDict()
+    assert (bad["over_full"], bad["apart"], bad["lost"], bad["split"]) == (1, 2, 1, 0)

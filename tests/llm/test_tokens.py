@@ -47,3 +47,9 @@ def test_corpus_and_edge_rows(spark, data, reference):
     assert K.token_ids(docs.limit(0)).collect() == []
     odd = spark.createDataFrame([(None, "a", 1), (7, "a", 2), (7, None, 3)], "doc_id long, text string, ids int")
     assert sorted((r.doc_id or 0, r.ids) for r in K.token_ids(odd).collect()) == [(0, [64]), (7, []), (7, [64])]
+
+
+def test_round_trip(spark):
+    rows = [(1, None), (2, ""), (3, " "), (4, "a\n日本 é" * 500), (5, "x" * 100_000)]
+    got = K.spelled(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: (r.has_ids, r.whole) for r in got} == {1: (False, True), 2: (False, True), 3: (True, True), 4: (True, True), 5: (True, True)}
