@@ -76,7 +76,7 @@ def test_streaming_equals_batch(spark, tmp_path):
     for r in run(stream.fail_streaks(source()), "streaks", "update"):
         last[r.source_id] = max(last.get(r.source_id, ("", 0)), (r.fetched_at, r.streak))
     assert {k: v[1] for k, v in last.items()} == {"a": 3, "b": 0, "c": 0, "d": 12}
-    windows = run(stream.counts_per_window(source()), "windows", "update")
+    windows = run(stream.counts_per_window(source()), "windows", "complete")
     assert sum(r.probes for r in windows) == log.count()
 
 
@@ -140,3 +140,28 @@ def test_reports(spark, data):
     empty = views.newsletter_lines(q["future_events"](spark, data).limit(0), q["recent_news_month"](spark, data).limit(0))
     assert "_Nenhum evento" in reports.newsletter(empty, "2026-03-31")
     assert dt.date.fromisoformat(reference.AS_OF)
+
+
+def test_hot_source(spark):
+    """One source with a third of the log, without AQE: no task holds more than a few per cent, and results equal one plain window's."""
+    from pyspark.sql import Window
+
+    log = spark.range(12_000).selectExpr(
+        "id", "if(id % 3 = 0, 'hot', concat('s', id % 40)) as source_id", "'u' as endpoint", "date_format(date_add(date '2026-01-01', cast(id % 300 as int)), 'yyyy-MM-dd') || 'T00:00:00' as fetched_at",
+        "if(id % 7 = 0, 500, 200) as http_status", "if(id % 11 = 0, null, cast(id % 5 as string)) as content_hash", "cast(null as string) as error",
+    )
+    w = Window.partitionBy("source_id", "endpoint").orderBy("fetched_at", "id").rowsBetween(Window.unboundedPreceding, -1)
+    want = log.withColumn("p", F.last(F.when(F.col("http_status") == 200, F.col("content_hash")), ignorenulls=True).over(w))
+    old = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.shuffle.partitions")}
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "32")
+    try:
+        got = logs.change_detection(log, ["source_id", "endpoint"], ["fetched_at", "id"])
+        sizes = [r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect()]
+        assert max(sizes) < 0.06 * 12_000 and len(sizes) == 32
+        assert {(r.id, r.previous_hash) for r in got.collect()} == {(r.id, r.p) for r in want.collect()}
+        sources = spark.createDataFrame([("hot", 1), ("s1", 1)], "id string, active int")
+        assert {r.source_id for r in logs.fail_streaks(log, sources).collect()} == {"hot", "s1"}
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
