@@ -91,23 +91,22 @@ def record_fetches(rows: DataFrame, at: str, last_id: int) -> None:
 
 def merge(spark: SparkSession, root: str, parsed: DataFrame, sources: DataFrame, now: str) -> DataFrame:
     """Merge parsed items into items and events: source_id, items, new, updated. Of a url's copies the last one counts."""
-    old = _table(spark, f"{root}/items", ITEMS)
+    last_id = _next_id(_table(spark, f"{root}/items", ITEMS))
     counted = parsed.groupBy("source_id").agg(F.count("*").alias("items"))
-    last = it.latest(parsed.filter("url is not null"), ["url"], ["position", "source_id"])
-    rest = [c for c in old.columns if c not in last.columns]
-    new = last.withColumns({c: F.lit(None).cast(dict(old.dtypes)[c]) for c in rest}).withColumn("discovered_at", F.lit(now))
-    both = cut_lineage(it.upsert_items(old, new))
-    known = both.filter("merge_state <> 'new'")
-    added = it.numbered(both.filter("merge_state = 'new'").drop("id"), "url", _next_id(old))
-    every = cut_lineage(known.unionByName(added))
+    last = cut_lineage(it.latest(parsed.filter("url is not null"), ["url"], ["position", "source_id"]))
+    new = last.withColumns({f.name: F.lit(None).cast(f.dataType) for f in ITEMS if f.name not in last.columns}).withColumn("discovered_at", F.lit(now))
+
+    def with_ids(old: DataFrame, new: DataFrame) -> DataFrame:
+        both = cut_lineage(it.upsert_items(old, new))
+        return both.filter("merge_state <> 'new'").unionByName(it.numbered(both.filter("merge_state = 'new'").drop("id"), "url", last_id))
+
+    every = store.merge(new, f"{root}/items", "url", ITEMS, with_ids)  # only the buckets of these urls
     changes = every.filter(F.col("merge_state").isin("new", "updated")).select("url", "merge_state", F.col("id").alias("item_id"))
-    if not changes.isEmpty():
-        store.commit(every.drop("merge_state"), f"{root}/items")
-        lineage = sources.select(F.col("id").alias("source_id"), F.col("lineage").alias("lineage"))
-        events = last.filter(F.col("type").isin("event", "seminar")).join(changes.select("url", "item_id"), "url").join(lineage, "source_id", "left")
-        events = events.withColumns({"org_id": F.lit(None).cast("string"), "region": F.lit(None).cast("string")}).select(*EVENT.fieldNames())
-        if not events.isEmpty():
-            store.commit(cut_lineage(it.upsert_events(_table(spark, f"{root}/events", EVENT), events).drop("merge_state")), f"{root}/events")
+    lineage = sources.select(F.col("id").alias("source_id"), "lineage")
+    events = last.filter(F.col("type").isin("event", "seminar")).join(changes.select("url", "item_id"), "url").join(lineage, "source_id", "left")
+    events = cut_lineage(events.withColumns({"org_id": F.lit(None).cast("string"), "region": F.lit(None).cast("string")}).select(*EVENT.fieldNames()))
+    if not events.isEmpty():
+        store.merge(events, f"{root}/events", "item_id", EVENT, it.upsert_events)
     owner = last.select("url", "source_id").join(changes.select("url", "merge_state"), "url").groupBy("source_id").agg(*[F.sum((F.col("merge_state") == s).cast("int")).alias(c) for s, c in (("new", "new"), ("updated", "updated"))])
     return cut_lineage(counted.join(owner, "source_id", "left"))
 
