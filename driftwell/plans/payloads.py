@@ -115,7 +115,9 @@ def free_agenda(s: SparkSession, d: str) -> DataFrame:
     day, month = F.pmod(key, F.lit(20)) + 1, F.element_at(F.array(*map(F.lit, ("janvier", "mars", "mai", "juillet", "août", "décembre"))), (F.pmod(key, F.lit(6)) + 1).cast("int"))
     line = F.concat(day.cast("string"), F.lit(", "), (day + 1).cast("string"), F.lit(" "), month, F.lit(" &gt; Salle "), key.cast("string"), F.lit(" (Suisse) &gt; ANNE MARTIN"))
     body = F.concat(F.lit('<p>1 mai &gt; x</p><a href="https://club.example/a.pdf">'), line, F.lit("<br>"), line, F.lit("<br>30 décembre au 2 janvier 2030 &gt; Stage &gt; Dojo Un</a>"))
-    return _parsed(_agenda_rows(s, d), body, "free_agenda").select("id", "url", "starts_at", "ends_at", "city", "country", "instructor", "tz")
+    # keys are small and their parsing is not: adaptive joining of partitions by bytes would leave one task
+    rows = _agenda_rows(s, d).repartition(int(s.conf.get("spark.sql.shuffle.partitions")))
+    return _parsed(rows, body, "free_agenda").select("id", "url", "starts_at", "ends_at", "city", "country", "instructor", "tz")
 
 
 def parsed_pages(s: SparkSession, d: str) -> DataFrame:

@@ -220,22 +220,28 @@ def free_agenda(today: str) -> Column:
     shape = rf"\d[^>]*?(?<!\p{{L}})(?:{months})(?!\p{{L}})[^>]*>"
     linked = F.filter("page.links", lambda a: a["href"].startswith("http"))
     lines = F.flatten(F.transform(linked, lambda a: F.transform(F.filter(a["lines"], lambda x: F.lower(x).rlike(shape)), lambda x: F.struct(a["href"].alias("href"), x.alias("line"), F.lower(x).alias("low")))))
-    lows = F.transform(lines, lambda x: x["low"])
-    once = F.filter(lines, lambda x, i: F.array_position(lows, x["low"]) == i + 1)
+
+    def once(lines: Column) -> Column:
+        return X.let(F.transform(lines, lambda x: x["low"]), lambda lows: F.filter(lines, lambda x, i: F.array_position(lows, x["low"]) == i + 1))
 
     def parse(x: Column) -> Column:
-        parts = F.filter(F.transform(F.split(x["line"], ">"), X.strip), lambda p: p != "")
-        return F.struct(x["href"].alias("href"), x["line"].alias("line"), F.when(F.size(parts) > 1, P.french_dates(parts[0], today)).alias("days"), P.venue(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0)))).alias("at"))
+        def read(parts: Column) -> Column:
+            return F.struct(x["href"].alias("href"), x["line"].alias("line"), F.when(F.size(parts) > 1, P.french_dates(parts[0], today)).alias("days"), P.venue(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0)))).alias("at"))
+
+        return X.let(F.filter(F.transform(F.split(x["line"], ">"), X.strip), lambda p: p != ""), read)
+
+    known = F.filter(F.transform(X.let(lines, once), parse), lambda x: x["days"].isNotNull())
 
-    known = F.filter(F.transform(once, parse), lambda x: x["days"].isNotNull())
+    def numbered(known: Column) -> Column:
+        def one(x: Column, i: Column) -> Column:
+            before = F.size(F.filter(F.slice(known, 1, i), lambda y: y["href"] == x["href"]))
+            url = X.let(before, lambda n: F.when(n == 0, x["href"]).otherwise(F.concat(x["href"], F.lit("#"), n.cast("string"))))
+            at = x["at"]
+            return item(url=url, type="seminar", title=x["line"], lang="fr", starts_at=x["days"]["starts"], ends_at=x["days"]["ends"], tz=F.when(at["country"] == "FR", "Europe/Paris"), city=at["city"], country=at["country"], instructor=at["instructor"])
 
-    def one(x: Column, i: Column) -> Column:
-        before = F.size(F.filter(F.slice(known, 1, i), lambda y: y["href"] == x["href"]))
-        url = F.when(before == 0, x["href"]).otherwise(F.concat(x["href"], F.lit("#"), before.cast("string")))
-        at = x["at"]
-        return item(url=url, type="seminar", title=x["line"], lang="fr", starts_at=x["days"]["starts"], ends_at=x["days"]["ends"], tz=F.when(at["country"] == "FR", "Europe/Paris"), city=at["city"], country=at["country"], instructor=at["instructor"])
+        return F.transform(known, one)
 
-    return F.transform(known, one)
+    return X.let(known, numbered)
 
 
 def parse_payloads(payloads: DataFrame, today: str, dedicated: dict[str, str] | None = None) -> DataFrame:

@@ -133,3 +133,19 @@ def test_slug_is_the_ascii_part(spark):
     want = [re.sub(r"[^a-z0-9]+", "-", unicodedata.normalize("NFKD", t).encode("ascii", "ignore").decode().lower()).strip("-")[:60] for t in texts]
     got = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", P.slug(F.col("t")).alias("s")).orderBy("i").collect()
     assert [r.s for r in got] == want
+
+
+def test_free_agenda_computes_each_step_once(spark, data):
+    """The dates of a line are in the plan once, however often they are used, and parsing has the session's partitions."""
+    import __spark_entry__ as entry
+
+    df = entry.queries()["free_agenda_items"](spark, data)
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == 1
+    assert df.select("starts_at").rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_free_agenda_of_many_lines(parse):
+    lines = [f"{i % 28 + 1} mai 2031 > Salle {i // 2}" for i in range(200)]  # each hall on two days
+    page = "".join(f'<a href="https://a.example/{k}">{"<br>".join([*lines[k::2], lines[k].upper()])}</a>' for k in (0, 1, 0))
+    got = [(x["url"], x["starts_at"], x["city"]) for x in parse("free_agenda", page)]
+    assert got == [(f"https://a.example/{k}" + (f"#{n}" if n else ""), f"2031-05-{i % 28 + 1:02d}", f"Salle {i // 2}") for k in (0, 1) for n, i in enumerate(range(k, 200, 2))]
